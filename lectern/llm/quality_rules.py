@@ -94,7 +94,7 @@ def default_rules() -> list[Rule]:
 def ordered(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
     """Rules by rejections per second over a small measured table, most first; ties keep the given order.
 
-    The sample holds at most SAMPLE_ROWS rows, so this costs the same at every size.
+    The sample holds about SAMPLE_ROWS rows, so this costs the same at every size.
     """
     rows = max(1, sample.count())
     rated = []
@@ -109,13 +109,14 @@ def ordered(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
 def cascade(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """The measures of each document with base_failed and kept; ``_row`` holds the input row.
 
-    docs: any table with the text column. The order of the rules comes from
-    the first SAMPLE_ROWS rows that a scan meets.
+    docs: any table with the text column. The order of the rules comes from a
+    random sample of about SAMPLE_ROWS rows, taken where the rows are.
     """
     rules = default_rules() if rules is None else rules
     table = measured(docs, text).withColumn("base_failed", base_failed())
     if len(rules) > 1:
-        sample = measured(docs.limit(SAMPLE_ROWS), text).where(~base_failed()).cache()
+        share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+        sample = measured(docs.sample(share, 11), text).where(~base_failed()).cache()
         try:
             rules = ordered(sample, rules)
         finally:
