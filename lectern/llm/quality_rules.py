@@ -14,6 +14,7 @@ since the input row travels in a struct of its own.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,40 +34,47 @@ class Rule:
     rejects: Column
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``_row`` (the input row) beside the measures n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long).
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, wherever the optimizer moves or copies the expression.
+
+    A plain column that an inner lambda reads could be replaced by its definition and computed for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    n_repeat_words counts the words that lie in a window of three words found
-    at least twice in the text, the first occurrence included. Equal windows
-    meet by sorting their 64-bit hashes within the row, so nothing is shuffled.
+
+def _repeat_words(w: Column) -> Column:
+    """How many of the words lie in a window of three words found at least twice, the first occurrence included.
+
+    Equal windows meet by sorting their 64-bit hashes within the row, so nothing is shuffled.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    hashed = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), hashed)
+    same = lambda s, x, i: F.get(s, i)["h"] == x["h"]
+    places = lambda s: F.transform(F.filter(s, lambda x, i: same(s, x, i - 1) | same(s, x, i + 1)), lambda x: x["p"])
+    start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
+    add = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"))
+    covered = F.aggregate(F.sort_array(_bound(F.sort_array(windows), places)), start, add, lambda a: a["n"])
+    return F.when(F.size(w) < 4, F.lit(0)).otherwise(covered)
+
+
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``_row`` (the input row) beside the measures n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long)."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), t.alias("_t"))
-    row = row.select("_row", "_t", words(F.col("_t")).alias("_w"))
-    n = F.size("_w")
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("p"))))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    row = row.select(
-        "_row", "_t", "_w",
-        F.sort_array(windows).alias("_s"),
-        lines.alias("_lines"),
-    )
-    # An element is read as a struct: the field of the whole array would be built anew for each element.
-    near = lambda i: F.get("_s", i)["h"]
-    again = F.filter("_s", lambda x, i: (near(i - 1) == x["h"]) | (near(i + 1) == x["h"]))
-    row = row.withColumn("_p", F.sort_array(F.transform(again, lambda x: x["p"])))
-    start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-    covered = F.aggregate("_p", start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
-    # rand() keeps the optimizer from moving filters below, where each use of a measure would compute it anew.
-    covered = F.when(F.rand(0) >= 0, F.coalesce(covered, F.lit(0)))
+    of_lines = _bound(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
+    of_words = _bound(words(F.col("_t")), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("repeat"), w.alias("w")))
+    # rand() keeps filters on the measures above them, where each is computed once.
+    row = row.withColumn("_m", F.when(F.rand(0) >= 0, F.struct(of_lines.alias("lines"), of_words.alias("words"))))
     return row.select(
-        "_row", "_t", "_w",
-        F.size("_w").cast("long").alias("n_words"),
+        "_row", "_t",
+        F.col("_m.words.w").alias("_w"),
+        F.col("_m.words.n").cast("long").alias("n_words"),
         F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size("_lines").cast("long").alias("_n_lines"),
-        covered.cast("long").alias("n_repeat_words"),
+        F.col("_m.lines.dup").cast("long").alias("n_dup_lines"),
+        F.col("_m.lines.n").cast("long").alias("_n_lines"),
+        F.col("_m.words.repeat").cast("long").alias("n_repeat_words"),
     )
 
 
