@@ -8,8 +8,11 @@ rejected in the column ``accepted``, while ``lang_pred`` keeps the best guess.
 The dictionaries hold at most ``dictionary_bytes`` of at most ``rows_per_lang``
 texts a language (documented bounds); every whole text is classified.
 
+Matches of three bytes count (an optimal parser finds them), since the words of
+a language share short pieces.
+
 Defined results: a null text or one without a letter is ``und`` with score 0;
-ties go to the first language by name; repeated rows get equal results; with
+ties go to the language with more learned documents, then to the first by name; repeated rows get equal results; with
 no language to learn everything is ``und``; an empty table gives an empty result.
 """
 
@@ -24,14 +27,14 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import held_out
 
-ROWS_PER_LANG, DICTIONARY_BYTES, LEVEL = 400, 96 * 1024, 3
+ROWS_PER_LANG, DICTIONARY_BYTES = 400, 32 * 1024
 #: Lead in bits a byte of text under which a guess is rejected.
 NARROW = 0.02
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def dictionaries(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Sample text of each language, from documents that aren't held out.
+    """Sample text of each language, from documents that aren't held out; languages with more documents come first.
 
     The rows are those with the smallest hashed ids; equal texts count once,
     and no text gives more than a fortieth of its dictionary, from its start.
@@ -49,20 +52,21 @@ def dictionaries(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, dictionary
     for lang, _, t in sorted(best.collect(), key=lambda r: (r[0], r[1], r[2])):
         if len(texts.setdefault(lang, {})) < rows_per_lang:
             texts[lang][t.encode()] = None
-    return {lang: b"\n".join(list(found)[::-1])[-dictionary_bytes:] for lang, found in sorted(texts.items())}
+    return {lang: b"\n".join(list(texts[lang])[::-1])[-dictionary_bytes:] for lang in sorted(texts, key=lambda x: (-counts[x], x))}
 
 
-def classified(docs: DataFrame, learned: dict[str, bytes], narrow: float = NARROW, level: int = LEVEL) -> DataFrame:
+def classified(docs: DataFrame, learned: dict[str, bytes], narrow: float = NARROW) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), margin (bits a byte) and accepted of every row."""
-    langs = sorted(learned)
+    langs = list(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as zstd
 
         given = [zstd.ZstdCompressionDict(learned[x], dict_type=zstd.DICT_TYPE_RAWCONTENT) for x in langs]
+        how = zstd.ZstdCompressionParameters(compression_level=3, min_match=3, strategy=zstd.STRATEGY_BTOPT, write_content_size=False, write_dict_id=False)
         for d in given:
-            d.precompute_compress(level=level)
-        tools = [zstd.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in given]
+            d.precompute_compress(compression_params=how)
+        tools = [zstd.ZstdCompressor(dict_data=d, compression_params=how) for d in given]
         for b in batches:
             pred, score, margin = [], [], []
             for t in b.column("text").to_pylist():
@@ -70,7 +74,7 @@ def classified(docs: DataFrame, learned: dict[str, bytes], narrow: float = NARRO
                     pred.append("und"), score.append(0.0), margin.append(0.0)
                     continue
                 raw = t.lower().encode()
-                sizes = sorted((len(c.compress(raw)), x) for c, x in zip(tools, langs, strict=True))
+                sizes = sorted(((len(c.compress(raw)), x) for c, x in zip(tools, langs, strict=True)), key=lambda x: x[0])
                 lead = 8 * (sizes[1][0] - sizes[0][0]) / len(raw) if len(sizes) > 1 else 8.0
                 # The share of the likelihood that the best language has, each size being a code length for 40 bytes.
                 rest = sum(2.0 ** (-8 * 40 * (s - sizes[0][0]) / len(raw)) for s, _ in sizes)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import language_id, quality_classifier, quality_rules
+from lectern.llm import bpe, language_id, media, quality_classifier, quality_rules, tokens
 from lectern.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_inspect(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents"), tokens.vocabulary_path("byte_bpe_50k.json"))
