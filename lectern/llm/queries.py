@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, language_id, media, quality_classifier, quality_rules, tokens
+from lectern.llm import bpe, language_id, media, minhash, packing, quality_classifier, quality_rules, tokens
 from lectern.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,13 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), tokens.vocabulary_path("byte_bpe_50k.json"))
+
+
+@_query
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link_components(read_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@_query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokens.vocabulary_path("byte_bpe_50k.json"))

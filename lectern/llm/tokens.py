@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Words kept by a worker at most; beyond that the table starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼½¾"
 #: Characters that normalisation leaves alone and whose classes don't depend on a Unicode version; U+0130 grows in lower case.
@@ -48,6 +48,11 @@ class Encoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cache_words, self.known = cache_words, {}
         self.pattern, self.lower = self._split(spec)
+        # Words of letters are encoded many at a time: joined, they split the same way, and a token tells where a word begins or ends.
+        self.plain = re.compile(f"{'' if self.lower else ' '}[{_L}]+").fullmatch
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.border = np.zeros(max(names.values()) + 1, bool)
+        self.border[[i for t, i in names.items() if (t.endswith("</w>") if self.lower else t.startswith("Ġ"))]] = True
 
     @staticmethod
     def _split(spec: dict) -> tuple[re.Pattern | None, bool]:
@@ -61,6 +66,25 @@ class Encoder:
             return _WORD_ENDS, True
         return None, False
 
+    def _learn(self, missing: list[str]) -> None:
+        joined, rest = [], []
+        for w in missing:
+            (joined if self.plain(w) else rest).append(w)
+        for at in range(0, len(joined), 2048):
+            part = joined[at : at + 2048]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([(" " if self.lower else "").join(part)], add_special_tokens=False)[0].ids, "<u4")
+            marks = 4 * np.flatnonzero(self.border[ids])
+            cuts = [0, *(marks + 4).tolist()] if self.lower else [*marks.tolist(), 4 * len(ids)]
+            if len(cuts) != len(part) + 1:
+                rest += part
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[word] = np.asarray(e.ids, "<u4").tobytes()
+
     def encode(self, text: str | None) -> bytes:
         text = text or ""
         if self.pattern is None or not _SAFE.fullmatch(text) or any(s in text for s in self.special):
@@ -71,10 +95,7 @@ class Encoder:
             if len(known) + len(missing) > self.cache_words:
                 known.clear()
                 missing = list(set(found))
-            for at in range(0, len(missing), 4096):
-                part = missing[at : at + 4096]
-                for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[word] = np.asarray(e.ids, "<u4").tobytes()
+            self._learn(missing)
         return b"".join([known[w] for w in found])
 
 
