@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, language_id, media, minhash, packing, quality_classifier, quality_rules, tokens
+from lectern.llm import bpe, language_id, media, minhash, packing, quality_classifier, quality_rules, token_store, tokens
 from lectern.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokens.vocabulary_path("byte_bpe_50k.json"))
+
+
+@_query
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(read_table(spark, sf_dir, "documents"), tokens.vocabulary_path("word_bpe_49k.json"))
