@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, language_id, media, minhash, packing, pii, quality_classifier, quality_rules, token_store, tokens
+from lectern.llm import bpe, language_id, media, minhash, packing, pii, quality_classifier, quality_rules, token_store, tokens, warc
 from lectern.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,11 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_surrogates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
+@_query
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisits(read_table(spark, sf_dir, "pages"))
+
+
+ORACLES["op10_warc_revisits"] = warc.REVISITS_SQL
