@@ -1,5 +1,6 @@
 """Imports every module that registers queries."""
 
+from lectern.plans import retrieval  # noqa: F401
 from lectern.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
