@@ -2,10 +2,10 @@
 
 Each document's id stream is cut where a rolling hash over sixteen ids meets a
 mask, so equal passages become equal chunks wherever they stand. A chunk's
-address is the hash of its bytes. The first document (by id) with a chunk owns
-it and keeps its bytes in its pack; others name the owner in their recipe, so
-every chunk is stored once. The Merkle root over the chunk addresses is kept
-with the recipe, and reading back verifies it against the bytes.
+address is the hash of its bytes. The first row with a chunk owns it and keeps
+its bytes in its pack; others name the owner in their recipe, so every chunk is
+stored once. The Merkle root over the chunk addresses is kept with the recipe,
+and reading back verifies it against the bytes.
 
 File format: Parquet rows in ascending doc_id order with ``own`` (the owned
 chunks end to end, ids as little-endian unsigned 16-bit integers where the
@@ -22,6 +22,7 @@ empty store; only the id and the text are read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,31 +46,36 @@ def _gear(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """The ends of the chunks of one id stream, the last of them its length."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash meets the mask: ends of possible chunks, in a stream of whole documents.
+
+    A window may reach into the document before only within its first ids, where no chunk ends (LEAST > WINDOW).
+    """
     g = _gear(ids)
     h = g.copy()
     for k in range(1, WINDOW):
         h[k:] += g[:-k] << _U(k)
+    return np.flatnonzero((h >> _U(WINDOW)) % _U(MEAN) == 0) + 1
+
+
+def _kept(ends: list[int], n: int) -> list[int]:
+    """The ends that keep chunks between the least and the most ids, n the last of them."""
     out, last = [], 0
-    for end in (np.flatnonzero((h >> _U(WINDOW)) % _U(MEAN) == 0) + 1).tolist():
+    for end in [*ends, n]:
         while end - last > MOST:
             last += MOST
             out.append(last)
-        if end - last >= LEAST:
+        if end - last >= LEAST or (end == n > last):
             out.append(end)
             last = end
-    while n - last > MOST:
-        last += MOST
-        out.append(last)
-    if last < n:
-        out.append(n)
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """The ends of the chunks of one id stream, the last of them its length."""
+    return _kept(marks(ids).tolist(), len(ids))
+
+
 def address(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
@@ -82,7 +88,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 def _staged(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
-    """uid, doc_id, n_tokens, sizes (ids of each chunk), addresses and payload of every row."""
+    """uid, doc_id, n_tokens, sizes (ids of each chunk), addresses, root and payload of every row."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,21 +96,26 @@ def _staged(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                n, sizes, addresses, payloads = [], [], [], []
-                for t in part.column("text"):
-                    ids = np.frombuffer(tool.encode(t.as_py()) + end, "<u4")
-                    raw = ids.astype(f"<u{width}").tobytes()
-                    ends = [0, *cuts(ids)]
-                    n.append(len(ids))
-                    sizes.append(np.diff(ends).tolist())
-                    addresses.append([address(raw[width * a : width * z]) for a, z in zip(ends, ends[1:], strict=False)])
-                    payloads.append(raw)
-                columns = [pa.array(n, pa.int64()), pa.array(sizes, pa.list_(pa.int32())), pa.array(addresses, pa.list_(pa.binary())), pa.array(payloads, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), *columns], ["uid", "doc_id", "n_tokens", "sizes", "addresses", "payload"])
+                streams = [tool.encode(t) + end for t in part.column("text").to_pylist()]
+                n = [len(x) // 4 for x in streams]
+                flat = np.frombuffer(b"".join(streams), "<u4")
+                found, raw, start = marks(flat), flat.astype(f"<u{width}").tobytes(), 0
+                sizes, addresses, roots, payloads = [], [], [], []
+                for size in n:
+                    own = found[np.searchsorted(found, start + LEAST) : np.searchsorted(found, start + size)] - start
+                    ends = _kept(own.tolist(), size)
+                    spans = list(zip([0, *ends], ends, strict=False))
+                    sizes.append([z - a for a, z in spans])
+                    addresses.append([address(raw[width * (start + a) : width * (start + z)]) for a, z in spans])
+                    roots.append(merkle_root(addresses[-1]))
+                    payloads.append(raw[width * start : width * (start + size)])
+                    start += size
+                columns = [pa.array(n, pa.int64()), pa.array(sizes, pa.list_(pa.int32())), pa.array(addresses, pa.list_(pa.binary())), pa.array(roots, pa.binary()), pa.array(payloads, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), *columns], ["uid", "doc_id", "n_tokens", "sizes", "addresses", "root", "payload"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    return rows.mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, sizes array<int>, addresses array<binary>, payload binary")
+    return rows.mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, sizes array<int>, addresses array<binary>, root binary, payload binary")
 
 
 def _starts(lengths: DataFrame, parts: int) -> DataFrame:
@@ -140,46 +151,58 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, wid
     stage = new_folder(spark, "stage")
     _staged(docs, vocabulary, end_id, width).write.option("compression", "zstd").parquet(stage)
     staged = spark.read.parquet(stage)
-    refs = staged.select("uid", "doc_id", F.posexplode("addresses").alias("seq", "address"))
-    first = F.min(F.struct(F.col("doc_id"), F.col("uid"), F.col("seq"))).alias("o")
-    shared = stored(refs.groupBy("address").agg(first, F.count("*").alias("n")).where("n > 1").select("address", "o"), "shared")
-    other = refs.join(shared, "address").where("not (uid = o.uid and seq = o.seq)")
-    owners = other.groupBy("uid").agg(F.collect_list(F.struct("seq", F.col("o.uid").alias("owner"), F.col("o.seq").alias("at"))).alias("elsewhere"))
+    refs = staged.select("uid", F.posexplode("addresses").alias("seq", "address"))
+    # A hash aggregate of two numbers over all addresses; the owner's place is looked up among the shared ones alone.
+    shared = refs.groupBy("address").agg(F.min("uid").alias("owner"), F.count("*").alias("n")).where("n > 1").select("address", "owner")
+    copies = stored(refs.join(shared, "address").select("uid", "seq", "address", "owner"), "copies")
+    places = stored(copies.where("uid = owner").groupBy("address").agg(F.min("seq").alias("at")), "places")
+    other = copies.join(places, "address").where("not (uid = owner and seq = at)")
+    owners = other.groupBy("uid").agg(F.collect_list(F.struct("seq", "owner", "at")).alias("elsewhere"))
     starts = _starts(staged.select("uid", "doc_id", "n_tokens"), parts)
     head = starts.join(owners, "uid", "left").select("doc_id", "uid", F.lit(0).alias("kind"), "start", "elsewhere")
-    rows = head.unionByName(staged.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    rows = head.unionByName(staged.drop("addresses").withColumn("kind", F.lit(1)), allowMissingColumns=True)
     rows = rows.repartitionByRange(parts, "doc_id", "uid").sortWithinPartitions("doc_id", "uid", "kind")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, uid long, start long, n_tokens long, sizes array<int>, elsewhere array<struct<seq:int,owner:bigint,at:int>>, root binary, own binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, elsewhere = None, []
+        left = None
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                if r["kind"] == 0:
-                    start, elsewhere = r["start"], sorted(r["elsewhere"] or [], key=lambda x: x["seq"])
-                    continue
-                gone, at, own = {x["seq"] for x in elsewhere}, 0, []
-                for seq, n in enumerate(r["sizes"]):
-                    if seq not in gone:
-                        own.append(r["payload"][at : at + width * n])
-                    at += width * n
-                out.append({"doc_id": r["doc_id"], "uid": r["uid"], "start": start, "n_tokens": r["n_tokens"], "sizes": r["sizes"], "elsewhere": elsewhere, "root": merkle_root(r["addresses"]), "own": b"".join(own)})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+            # A document's two rows stand side by side, its place first and its payload second.
+            t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
+            n = t.num_rows // 2
+            left = t.slice(2 * n)
+            if not n:
+                continue
+            first, second = t.take(pa.array(range(0, 2 * n, 2))), t.take(pa.array(range(1, 2 * n, 2)))
+            elsewhere, own = first.column("elsewhere").combine_chunks(), second.column("payload").combine_chunks()
+            gone = elsewhere.is_valid().to_numpy(zero_copy_only=False)
+            if gone.any():
+                kept = own.to_pylist()
+                for i in np.flatnonzero(gone).tolist():
+                    r = {"sizes": second.column("sizes")[i].as_py(), "elsewhere": elsewhere[i].as_py()}
+                    kept[i] = b"".join(_not_elsewhere(r, kept[i], width))
+                own = pa.array(kept, pa.binary())
+            columns = [first.column("doc_id"), first.column("uid"), first.column("start"), second.column("n_tokens"), second.column("sizes"), elsewhere, second.column("root"), own]
+            yield from pa.Table.from_arrays(columns, ["doc_id", "uid", "start", "n_tokens", "sizes", "elsewhere", "root", "own"]).combine_chunks().to_batches()
+
     rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     dropped(spark, stage)
 
 
+def _not_elsewhere(r: dict, payload: bytes, width: int) -> list[bytes]:
+    """The chunks of a whole payload that the document owns."""
+    gone, at, out = {x["seq"] for x in r["elsewhere"]}, 0, []
+    for seq, n in enumerate(r["sizes"]):
+        if seq not in gone:
+            out.append(payload[at : at + width * n])
+        at += width * n
+    return out
+
+
 def _pieces(r: dict, width: int) -> dict[int, bytes]:
     """The owned chunks of one pack row by their place."""
-    gone, at, out = {x["seq"] for x in r["elsewhere"]}, 0, {}
+    gone, at, out = {x["seq"] for x in r["elsewhere"] or ()}, 0, {}
     for seq, n in enumerate(r["sizes"]):
         if seq not in gone:
             out[seq] = r["own"][at : at + width * n]
@@ -187,9 +210,13 @@ def _pieces(r: dict, width: int) -> dict[int, bytes]:
     return out
 
 
-def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every document, verified against its root."""
+def read(spark: SparkSession, path: str, width: int = 2, digest: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every document, verified against its root.
+
+    digest: the crc32 of those ids (ids_crc32) in place of the ids, which then never leave the worker.
+    """
     packs = spark.read.parquet(path)
+    last = "ids_crc32" if digest else "ids"
     names = ["doc_id", "uid", "start", "n_tokens", "sizes", "elsewhere", "root", "own"]
     kind = packs.schema["doc_id"].dataType.simpleString()
     asked = packs.select("uid", F.explode("elsewhere").alias("e")).select("uid", "e.seq", F.col("e.owner").alias("owner"), F.col("e.at").alias("at"))
@@ -207,11 +234,12 @@ def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             chunks = [parts[seq] for seq in range(len(r["sizes"]))]
             if merkle_root([address(c) for c in chunks]) != r["root"]:
                 raise ValueError(f"document {r['doc_id']}: its chunks do not match its Merkle root")
-            return r["doc_id"], r["start"], r["n_tokens"], np.frombuffer(b"".join(chunks), f"<u{width}").astype("<u4").tobytes()
+            ids = np.frombuffer(b"".join(chunks), f"<u{width}").astype("<u4").tobytes()
+            return r["doc_id"], r["start"], r["n_tokens"], zlib.crc32(ids) if digest else ids
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (id_kind, pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "n_tokens", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (id_kind, pa.int64(), pa.int64(), pa.int64() if digest else pa.binary()), strict=True)], ["doc_id", "start", "n_tokens", last])
 
         row, more, out = None, {}, []
         for b in batches:
@@ -230,12 +258,12 @@ def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
         if row is not None:
             yield batch([done(row, more)])
 
-    result = f"doc_id {kind}, start long, n_tokens long, ids binary"
-    alone = packs.where("size(elsewhere) = 0").select(*names).mapInArrow(assemble, result)
+    result = f"doc_id {kind}, start long, n_tokens long, {last} {'long' if digest else 'binary'}"
+    alone = packs.where("elsewhere is null").select(*names).mapInArrow(assemble, result)
     wanted = asked.select(F.col("owner").alias("uid")).distinct()
     served = packs.join(wanted, "uid", "left_semi").select(*names).mapInArrow(serve, "owner long, at int, chunk binary")
     moved = asked.join(served, ["owner", "at"]).select("uid", "seq", "chunk")
-    parted = packs.where("size(elsewhere) > 0").select(*names).withColumn("seq", F.lit(-1)).unionByName(moved, allowMissingColumns=True)
+    parted = packs.where("elsewhere is not null").select(*names).withColumn("seq", F.lit(-1)).unionByName(moved, allowMissingColumns=True)
     parted = parted.repartition(shuffle_width(spark), "uid").sortWithinPartitions("uid", "seq")
     return alone.unionByName(parted.mapInArrow(assemble, result))
 
@@ -244,5 +272,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Write the store in the shared folder and read it back: doc_id, start, n_tokens and ids_crc32 of every document."""
     path = new_folder(docs.sparkSession, "token-store")
     write(docs, path, vocabulary)
-    found = read(docs.sparkSession, path)
-    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(docs.sparkSession, path, digest=True)

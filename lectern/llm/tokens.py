@@ -15,8 +15,8 @@ import re
 
 import numpy as np
 
-#: Words kept by a worker at most; beyond that the table starts anew.
-CACHE_WORDS = 800_000
+#: Words of one generation. A full generation becomes the old one, from which words that are met again move on.
+CACHE_WORDS = 500_000
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼½¾"
 #: Characters that normalisation leaves alone and whose classes don't depend on a Unicode version; U+0130 grows in lower case.
@@ -46,10 +46,14 @@ class Encoder:
         self.tokenizer.no_padding()
         spec = json.loads(self.tokenizer.to_str())
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.cache_words, self.known = cache_words, {}
+        self.cache_words, self.known, self.old = cache_words, {}, {}
         self.pattern, self.lower = self._split(spec)
         # Words of letters are encoded many at a time: joined, they split the same way, and a token tells where a word begins or ends.
         self.plain = re.compile(f"{'' if self.lower else ' '}[{_L}]+").fullmatch
+        self.joiner = self.tokenizer
+        if self.lower:  # words are normalised and split already: a tokenizer that does neither again
+            blanks = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+            self.joiner = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": blanks, "added_tokens": []}))
         names = self.tokenizer.get_vocab(with_added_tokens=False)
         self.border = np.zeros(max(names.values()) + 1, bool)
         self.border[[i for t, i in names.items() if (t.endswith("</w>") if self.lower else t.startswith("Ġ"))]] = True
@@ -69,10 +73,10 @@ class Encoder:
     def _learn(self, missing: list[str]) -> None:
         joined, rest = [], []
         for w in missing:
-            (joined if self.plain(w) else rest).append(w)
+            (joined if self.lower or self.plain(w) else rest).append(w)
         for at in range(0, len(joined), 2048):
             part = joined[at : at + 2048]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([(" " if self.lower else "").join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.asarray(self.joiner.encode_batch_fast([(" " if self.lower else "").join(part)], add_special_tokens=False)[0].ids, "<u4")
             marks = 4 * np.flatnonzero(self.border[ids])
             cuts = [0, *(marks + 4).tolist()] if self.lower else [*marks.tolist(), 4 * len(ids)]
             if len(cuts) != len(part) + 1:
@@ -89,15 +93,35 @@ class Encoder:
         text = text or ""
         if self.pattern is None or not _SAFE.fullmatch(text) or any(s in text for s in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found = self.pattern.findall(text.lower() if self.lower else text)
+        # Where the pattern drops blanks, pieces between blanks are looked up whole.
+        found = text.lower().split() if self.lower else self.pattern.findall(text)
+        if missing := set(found).difference(self.known):
+            self._meet(missing, found)
         known = self.known
-        if missing := list(set(found).difference(known)):
-            if len(known) + len(missing) > self.cache_words:
-                known.clear()
-                missing = list(set(found))
-            self._learn(missing)
         return b"".join([known[w] for w in found])
 
+    def _meet(self, missing: set[str], found: list[str]) -> None:
+        """Put the missing of the found into the table."""
+        if len(self.known) + len(missing) > self.cache_words:
+            self.old, self.known = self.known, {}
+            missing = set(found)
+        known, old, new = self.known, self.old, []
+        for w in missing:
+            ids = old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        if not self.lower:
+            self._learn(new)
+            return
+        compound = {w: p for w in new if not self.plain(w) and len(p := self.pattern.findall(w)) > 1}
+        words = {w for w in new if w not in compound}
+        words.update(x for p in compound.values() for x in p if x not in known)
+        self._learn(list(words))
+        for w, p in compound.items():
+            known[w] = b"".join([known[x] for x in p])
+
 
 _encoders: dict[str, Encoder] = {}
 
