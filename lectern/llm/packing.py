@@ -130,14 +130,17 @@ def plan(histogram: dict[int, int], room: int) -> list[tuple[Counter, int]]:
         return out
     sizes = np.array(sorted(left))
     demand = np.array([left[s] for s in sizes.tolist()], float)
-    for pattern, uses in sorted(solved(sizes, demand, room), key=lambda x: -x[1]):
+    # Whole uses first, then once more each pattern whose pieces are still there, the larger fractions first.
+    found = sorted(solved(sizes, demand, room), key=lambda x: -x[1])
+    once = sorted((x for x in found), key=lambda x: -(x[1] % 1))
+    for pattern, uses in [*found, *((p, 1.0) for p, _ in once)]:
         items = Counter({int(s): int(n) for s, n in zip(sizes, pattern, strict=True) if n})
         times = min(int(uses + 1e-6), *(left[s] // n for s, n in items.items()))
         if times > 0:
             out.append((items, times))
             for s, n in items.items():
                 left[s] -= n * times
-    # At most about one use of each pattern is left: largest first, into the fullest sequence that has room.
+    # What is left is less than one use of each pattern: largest first, each sequence filled in turn.
     while left := +left:
         space, items = room, Counter()
         for s in sorted(left, reverse=True):

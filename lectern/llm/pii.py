@@ -8,7 +8,7 @@ keeps gender and script. One entity, however it is written, has one stand-in
 everywhere (coreference), and two entities have two (distinctness): numbers,
 mailboxes and secrets go through a keyed permutation of all strings of their
 shape; names are drawn by a keyed hash. A check over the corpus then finds
-stand-ins that meet or equal an original entity, and redraws them.
+stand-ins that meet or that equal their own original, and redraws them.
 
 The check moves distinct entities only, never texts. Redrawn entities are
 carried to the tasks when they are few (``REDRAWN_AT_ONCE``), else joined to the
@@ -36,6 +36,8 @@ from lectern.llm.common import stored
 KEY = "lectern"
 #: Redrawn entities up to which they travel with the tasks (some 100 bytes each).
 REDRAWN_AT_ONCE = 20_000
+#: Rounds of drawing anew.
+ROUNDS = 16
 
 # Given names by gender and forms of address, with the gender they tell.
 FEMALE = "Anna Maria Marie Emma Mary Linda Julia Laura Sarah Lisa Sophie Claire Camille Carmen Elena Lucia Isabel Teresa Ingrid Katharina Ursula Monika Susan Karen Nancy Helen Alice Emily Olivia Charlotte".split()
@@ -261,9 +263,12 @@ def entities(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
 
 
 def redrawn(found: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, canonical and attempt of the entities whose first stand-in meets another's or equals an original entity.
+    """kind, canonical and attempt of the entities whose first stand-in meets another's or is the entity itself.
 
-    Rounds go on until all stand-ins of a kind differ. Given names keep theirs: a list of names is permuted, so they can't meet.
+    Rounds go on until all stand-ins of a kind differ and none is its own
+    original, at most ``ROUNDS``: an entity of a kind whose values are used up
+    (all addresses of a small private network, say) then keeps its last draw.
+    Given names keep theirs: a list of names is permuted, so they can't meet.
     """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,19 +277,19 @@ def redrawn(found: DataFrame, key: str = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("canonical"), b.column("attempt"), pa.array([surrogate(key, *r) for r in rows], pa.string())], ["kind", "canonical", "attempt", "stand_in"])
 
     found = found.where(~F.col("kind").startswith("given_"))
-    names = found.select("kind", F.col("canonical").alias("stand_in"), F.lit(True).alias("original"))
     now = stored(found.withColumn("attempt", F.lit(0)), "entities")
-    while True:
-        # Of those that share a stand-in the first keeps it, unless it is an original entity, which nobody keeps.
-        firsts = now.groupBy("kind", "stand_in").agg(F.min("canonical").alias("first"), F.count("*").alias("n"))
-        marked = firsts.join(names, ["kind", "stand_in"], "left").where("n > 1 or original")
-        bad = now.join(marked.select("kind", "stand_in", "first", "original"), ["kind", "stand_in"]).where("original or canonical <> first")
+    for _ in range(ROUNDS):
+        # Of those that share a stand-in the first keeps it, unless it is that entity itself.
+        firsts = now.where("canonical <> stand_in").groupBy("kind", "stand_in").agg(F.min("canonical").alias("first"))
+        marked = now.join(firsts, ["kind", "stand_in"], "left")
+        bad = marked.where("canonical = stand_in or canonical <> first")
         bad = stored(bad.select("kind", "canonical", (F.col("attempt") + 1).cast("int").alias("attempt")), "redrawn")
         if bad.isEmpty():
-            return now.where("attempt > 0").select("kind", "canonical", "attempt")
+            break
         fresh = bad.mapInArrow(draw, "kind string, canonical string, attempt int, stand_in string")
         rest = now.join(bad.select("kind", "canonical"), ["kind", "canonical"], "left_anti")
         now = stored(rest.select("kind", "canonical", "stand_in", "attempt").unionByName(fresh), "entities")
+    return now.where("attempt > 0").select("kind", "canonical", "attempt")
 
 
 def with_surrogates(docs: DataFrame, key: str = KEY, text: str = "text", counts: bool = False) -> DataFrame:

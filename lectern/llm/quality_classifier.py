@@ -118,6 +118,8 @@ def fit(sample: pa.Table, epochs: int = EPOCHS, rank: int = RANK, rate: float =
     share = float(y.mean()) if len(y) else 0.5
     linear, rng = np.zeros(_WIDTH), np.random.default_rng(seed)
     factors = rng.normal(0, 0.05, (_WIDTH, rank))
+    if not len(y):
+        return Machine(0.0, linear, factors * 0)
     if not 0 < share < 1:
         return Machine(float(np.log((share + 1e-3) / (1 - share + 1e-3))), linear, factors * 0)
     ids, stats = table["ids"].combine_chunks(), table["stats"].combine_chunks()
