@@ -7,7 +7,7 @@ centroids (labels × dimensions) meet each other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.vector import dot, doubles, norm
@@ -295,9 +295,9 @@ def logit_importance(df: DataFrame, features: list[str], target: Column, c: floa
 
 def dense_labels(df: DataFrame, label: str, name: str = "label_id") -> DataFrame:
     """Ids from 0 in the order of the distinct labels (EM-17)."""
-    ids = df.select(label).where(F.col(label).isNotNull()).distinct()
-    ids = ids.withColumn(name, F.row_number().over(Window.orderBy(label)) - 1)  # distinct labels, of which there are few
-    return df.join(F.broadcast(ids), label)
+    from lectern.sources.stage import numbered
+
+    return df.join(numbered(df.select(label).where(F.col(label).isNotNull()).distinct(), label, name=name), label)
 
 
 def year_bins(year: Column, newest: Column, width: int = 30) -> Column:

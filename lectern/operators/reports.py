@@ -33,7 +33,7 @@ def box_plot(df: DataFrame, value: str, *keys: str, exact: bool = True) -> DataF
     q = lambda p: F.percentile(value, p) if exact else F.percentile_approx(value, p, 10000)
     g = df.groupBy(*keys).agg(q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(F.broadcast(g.select(*keys, low.alias("_lo"), high.alias("_hi"))), list(keys)).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
+    inside = df.join(g.select(*keys, low.alias("_lo"), high.alias("_hi")), list(keys)).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
     ends = inside.groupBy(*keys).agg(F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))
     return g.join(ends, list(keys))
 

@@ -196,10 +196,10 @@ def j22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.strictly_joined(table(spark, sf_dir, "labels").select("doc_id"), docs(spark, sf_dir).select("doc_id", "lang"), ["doc_id"], "lang")
 
 
-@query("j23_path_join", "SELECT a.url, a.page_id AS old_id, b.page_id AS new_id FROM pages a JOIN pages b ON a.url = b.url WHERE a.page_id % 2 = 0")
+@query("j23_path_join", "SELECT a.url, a.page_id AS old_id, b.page_id AS new_id FROM pages a JOIN pages b ON a.url = b.url")
 def j23(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    return p.where("page_id % 2 = 0").select("url", F.col("page_id").alias("old_id")).join(p.select("url", F.col("page_id").alias("new_id")), "url")
+    return p.select("url", F.col("page_id").alias("old_id")).join(p.select("url", F.col("page_id").alias("new_id")), "url")
 
 
 # Order, budgets, model loops.
