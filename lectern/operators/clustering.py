@@ -163,42 +163,172 @@ def knn_consistency(rows: DataFrame, k: int = 10) -> DataFrame:
     return gap.agg(F.avg("gap").alias("knn_temporal_consistency"))
 
 
-@embedding_metrics.register("mantel_test")
-def mantel(rows: DataFrame, permutations: int = 199, most: int = 2000, seed: int = 42) -> DataFrame:
-    """Spearman correlation of cosine distances and label gaps over all pairs, with a permutation p (EM-6).
+#: Bytes of vectors sent to all tasks at once, and pairs worked on at once within a task.
+MANTEL_BYTES, MANTEL_TILE = 32 << 20, 1 << 21
+#: Distances count in units of 1e-9. Buckets of them, pairs in a part of the shuffle, and pairs from which a bucket is resolved by value instead.
+UNITS, BUCKETS, PART_PAIRS, HEAVY_PAIRS = 10**9, 1 << 18, 1 << 20, 1 << 22
+
+
+def _gap_ranks(labels):
+    """The distinct gaps of labels over all pairs, in order, with their average ranks and counts."""
+    import numpy as np
+
+    values, times = np.unique(labels, return_counts=True)
+    gaps, counts = np.zeros(1, values.dtype), np.array([int((times * (times - 1) // 2).sum())])
+    for k in range(1, len(values)):
+        gaps = np.concatenate([gaps, values[k] - values[:k]])
+        counts = np.concatenate([counts, times[k] * times[:k]])
+        if k % 64 == 0 or k == len(values) - 1:
+            gaps, at = np.unique(gaps, return_inverse=True)
+            counts = np.bincount(at, counts).astype(np.int64)
+    gaps, counts = gaps[counts > 0], counts[counts > 0]
+    return gaps, np.cumsum(counts) - counts + (counts + 1) / 2, counts
 
-    A test on pairs of at most ``most`` rows, chosen by hash order: the sampling is part of the metric's definition.
+
+@embedding_metrics.register("mantel_test")
+def mantel(rows: DataFrame, permutations: int = 199, seed: int = 42) -> DataFrame:
+    """Spearman correlation of cosine distances and label gaps over all pairs of all rows, with a permutation p (EM-6).
+
+    Rows meet blocks of bounded bytes. A first pass counts the distances by
+    bucket, so that the pairs can be dealt by ranges of distance into parts of
+    bounded size whose first rank is known; a bucket of very many pairs is
+    counted by value instead, and its pairs aren't shuffled. Gaps are ranked
+    from the counts of the labels. Only counts and sums reach the driver, and
+    one label a row.
     """
     import numpy as np
+    import pyarrow as pa
 
-    few = rows.select("id", "label", F.col("v")).orderBy(F.md5(F.col("id").cast("string")), "id").limit(most)
-    kind = "mantel_corr double, mantel_p_value double"
+    from lectern.sources.stage import numbered
 
-    def run(it):
-        import pandas as pd
-
-        x = pd.concat(list(it), ignore_index=True)
-        if len(x) < 3:
-            yield pd.DataFrame({"mantel_corr": [None], "mantel_p_value": [None]})
-            return
-        v = np.stack(x["v"].to_numpy())
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), EPS)
-        i, j = np.triu_indices(len(x), 1)
-        rank = lambda a: pd.Series(a).rank().to_numpy()
-        d = rank(np.round(1 - np.einsum("ij,ij->i", v[i], v[j]), 9))
-        y = x["label"].to_numpy(float)
-        g = np.zeros((len(x), len(x)))
-        g[i, j] = rank(np.abs(y[i] - y[j]))
-        g += g.T
-        d = (d - d.mean()) / d.std()
-        sd, mean = g[i, j].std(), g[i, j].mean()
-        corr = lambda p: float((d * (g[p[i], p[j]] - mean)).mean() / sd) if sd > 0 else float("nan")
-        real = corr(np.arange(len(x)))
-        rng = np.random.default_rng(seed)
-        more = sum(abs(corr(rng.permutation(len(x)))) >= abs(real) - 1e-12 for _ in range(permutations))
-        yield pd.DataFrame({"mantel_corr": [real], "mantel_p_value": [(more + 1) / (permutations + 1)]})
-
-    return few.coalesce(1).mapInPandas(run, kind)
+    spark = rows.sparkSession
+    at = numbered(rows.select("id", "label", "v"), "id")
+    told = at.select("number", "label").toPandas().sort_values("number")
+    labels, n = told["label"].to_numpy(), len(told)
+    kind = "mantel_corr double, mantel_p_value double"
+    if n < 3:
+        return spark.createDataFrame([(None, None)], kind)
+    if not np.issubdtype(labels.dtype, np.integer):
+        labels = labels.astype(float)
+    gaps, gap_rank, gap_counts = _gap_ranks(labels)
+    mean, total = (n * (n - 1) // 2 + 1) / 2, n * (n - 1) // 2
+    own = at.select("number", "v").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1), "number")
+    width, units, tile = -(-(2 * UNITS + 1) // BUCKETS), UNITS, MANTEL_TILE
+
+    def unit_vectors(column):
+        v = np.stack(column.to_numpy(zero_copy_only=False)).astype(float)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), EPS)
+
+    size = max(1, MANTEL_BYTES // (8 * len(at.select("v").first()[0])))
+    blocks = []
+    for low in range(0, n, size):
+        part = at.where((F.col("number") >= low) & (F.col("number") < low + size)).select("number", "v").toArrow().sort_by("number").combine_chunks()
+        blocks.append((low, spark.sparkContext.broadcast(unit_vectors(part.column("v")))))
+
+    def tiles(batches, low, block):
+        """i, j and the distance in units of all pairs i < j of the rows and one block."""
+        wide = block.value
+        step = max(1, tile // len(wide))
+        for b in batches:
+            number = b.column("number").to_numpy()
+            number, v = number[number < low + len(wide) - 1], b.column("v").filter(pa.array(number < low + len(wide) - 1))
+            if not len(number):
+                continue
+            v = unit_vectors(v)
+            for k in range(0, len(number), step):
+                d = np.rint((1 - v[k : k + step] @ wide.T) * units).astype(np.int64)
+                i, j = np.nonzero(number[k : k + step, None] < np.arange(low, low + len(wide))[None])
+                yield number[k : k + step][i], j + low, np.clip(d[i, j], 0, 2 * units)
+
+    def over_blocks(make, schema):
+        out = None
+        for low, block in blocks:
+            one = own.mapInArrow(make(low, block), schema)
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def counted(key_of):
+        """How many pairs have each key."""
+
+        def make(low, block):
+            def run(batches):
+                for _, _, d in tiles(batches, low, block):
+                    keys, times = np.unique(key_of(d), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(times, pa.int64())], ["key", "n"])
+
+            return run
+
+        return over_blocks(make, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+
+    by_bucket = counted(lambda d: d // width)
+    count = np.zeros(BUCKETS, np.int64)
+    count[by_bucket["key"].to_numpy()] = by_bucket["n"].to_numpy()
+    before = np.cumsum(count) - count
+    heavy = count > HEAVY_PAIRS
+    light = np.where(heavy, 0, count)
+    # A part is a run of buckets without a heavy one between them.
+    _, first, part_of = np.unique((np.cumsum(light) - light) // PART_PAIRS + np.cumsum(heavy) * (total // PART_PAIRS + 2), return_index=True, return_inverse=True)
+    start = before[first] + np.where(heavy[first], count[first], 0)
+    part_of = np.where(heavy, -1, part_of).astype(np.int32)
+    exact, exact_rank = np.zeros(0, np.int64), np.zeros(0)
+    if heavy.any():
+        by_value = counted(lambda d: d[heavy[d // width]])
+        exact, times = by_value["key"].to_numpy(), by_value["n"].to_numpy()
+        inside = np.cumsum(times) - times
+        in_bucket = np.searchsorted(exact, exact // width * width)
+        exact_rank = before[exact // width] + inside - inside[in_bucket] + (times + 1) / 2
+
+    dense = np.issubdtype(labels.dtype, np.integer) and int(gaps[-1]) < 1 << 22
+    if dense:
+        by_gap = np.zeros(int(gaps[-1]) + 1)
+        by_gap[gaps] = gap_rank
+    order_of = [None]
+
+    def sums(i, j, rank):
+        """The squares of the centred ranks of these pairs, and their products with the gaps' under each order of the labels."""
+        if order_of[0] is None:
+            rng = np.random.default_rng(seed)
+            order_of[0] = [labels, *(labels[rng.permutation(n)] for _ in range(permutations))]
+        r = rank - mean
+        out = [float(r @ r)]
+        for y in order_of[0]:
+            g = np.abs(y[i] - y[j])
+            out.append(float(r @ ((by_gap[g] if dense else gap_rank[np.searchsorted(gaps, g)]) - mean)))
+        return out
+
+    def make(low, block):
+        def run(batches):
+            for i, j, d in tiles(batches, low, block):
+                part = part_of[d // width]
+                known = part < 0
+                done = sums(i[known], j[known], exact_rank[np.searchsorted(exact, d[known])]) if known.any() else None
+                if done:
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([done], pa.list_(pa.float64()))], ["part", "pairs", "sums"])
+                order = np.argsort(part, kind="stable")[int(known.sum()) :]
+                packed = np.stack([d[order], i[order], j[order]], axis=1).astype("<u4")
+                ids, ends = np.unique(part[order], return_index=True)
+                pieces = [x.tobytes() for x in np.split(packed, ends[1:])] if len(ids) else []
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(pieces, pa.binary()), pa.array([None] * len(ids), pa.list_(pa.float64()))], ["part", "pairs", "sums"])
+
+        return run
+
+    def ranked(group):
+        part = group.column("part")[0].as_py()
+        if part < 0:
+            return pa.table({"sums": group.column("sums")})
+        x = np.frombuffer(b"".join(group.column("pairs").to_pylist()), "<u4").reshape(-1, 3)
+        _, at_, times = np.unique(x[:, 0], return_inverse=True, return_counts=True)
+        rank = start[part] + np.cumsum(times) - times + (times + 1) / 2
+        return pa.table({"sums": pa.array([sums(x[:, 1], x[:, 2], rank[at_])], pa.list_(pa.float64()))})
+
+    found = over_blocks(make, "part int, pairs binary, sums array<double>").groupBy("part").applyInArrow(ranked, "sums array<double>")
+    parts = found.select(F.posexplode("sums").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).toPandas().sort_values("k")["x"].to_numpy()
+    for _, block in blocks:
+        block.destroy()
+    spread = np.sqrt(parts[0]) * np.sqrt(float(gap_counts @ (gap_rank - mean) ** 2))
+    corr = parts[1:] / spread if spread > 0 else np.full(permutations + 1, np.nan)
+    more = int((np.abs(corr[1:]) >= abs(corr[0]) - 1e-12).sum())
+    return spark.createDataFrame([(float(corr[0]), (more + 1) / (permutations + 1))], kind)
 
 
 @embedding_metrics.register("dbcv")

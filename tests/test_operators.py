@@ -121,3 +121,27 @@ def test_many_to_one_and_strict_joins_fail_loudly(spark):
         R.many_to_one(a, b, ["k"]).collect()
     with pytest.raises(Exception, match="no partner"):
         R.strictly_joined(a, b, ["k"], "v").collect()
+
+
+@pytest.mark.parametrize("heavy", [1 << 22, 500])
+def test_mantel_takes_all_pairs_of_more_than_2000_rows(spark, monkeypatch, heavy):
+    import numpy as np
+    import pandas as pd
+
+    from lectern.operators import clustering
+
+    monkeypatch.setattr(clustering, "HEAVY_PAIRS", heavy)
+    monkeypatch.setattr(clustering, "PART_PAIRS", 100_000)
+    monkeypatch.setattr(clustering, "MANTEL_BYTES", 8 * 4 * 1500)
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2300, 4)), rng.integers(0, 12, 2300)
+    x[:100] = x[0]
+    x[:, 0] += y / 6
+    i, j = np.triu_indices(len(x), 1)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rank = lambda a: pd.Series(a).rank().to_numpy()
+    want = np.corrcoef(rank(np.round(1 - (u[i] * u[j]).sum(1), 9)), rank(np.abs(y[i] - y[j])))[0, 1]
+    rows = spark.createDataFrame([(k, int(b), a.tolist()) for k, (a, b) in enumerate(zip(x, y, strict=True))], "id long, label long, v array<double>").repartition(3)
+    got = clustering.mantel(rows, permutations=4).first()
+    assert got.mantel_corr == pytest.approx(want, abs=1e-9) and got.mantel_p_value == 0.2
+    assert clustering.mantel(rows.limit(2)).first().mantel_corr is None
