@@ -4,7 +4,7 @@ Detected entities are replaced by keyed stand-ins of the same type: mailboxes,
 telephone, card, account and social-security numbers, IP addresses, secrets
 and names. A stand-in keeps the format of each mention (separators, case,
 length, check digits, private or public address, country code) and a name
-keeps gender and script. One entity, however it is written, has one stand-in
+keeps script, and gender if it is a listed given name. One entity, however it is written, has one stand-in
 everywhere (coreference), and two entities have two (distinctness): numbers,
 mailboxes and secrets go through a keyed permutation of all strings of their
 shape; names are drawn by a keyed hash. A check over the corpus then finds
@@ -58,7 +58,7 @@ _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]{16,}={0,2})")
 _DIGIT = re.compile("[0-9]")
-_SURNAME = re.compile(r"\.? ((?:[^\W\d_][\w'’-]* )?)([^\W\d_][\w'’-]+)")
+_TITLED = re.compile(r"\.? ([^\W\d_][\w'’-]*)(?: ([^\W\d_][\w'’-]+))?")
 _LAST = re.compile(r" ([^\W\d_][\w'’-]+)")
 
 
@@ -121,16 +121,14 @@ def detect(text: str) -> list[Entity]:
         if (start and (text[start - 1].isalnum() or text[start - 1] == "_")) or text[end + 1 : end + 2].isalnum():
             continue
         if word in TITLES:
-            m = _SURNAME.match(text, end + 1)
-            if m and m[2][:1].isupper() and (not m[1] or m[1][:1].isupper()):
-                given = m[1].strip()
-                gender = TITLES[word] or _GENDER.get(given, "")
-                if given and given not in _GENDER:  # two capitalised words, the first no known given name: it is the name
-                    found.append(Entity(*m.span(1), "surname", given)._replace(end=m.start(1) + len(given)))
-                    continue
-                if given:
-                    found.append(Entity(m.start(1), m.start(1) + len(given), f"given_{gender or _GENDER[given]}", given))
+            m = _TITLED.match(text, end + 1)
+            if not m or not m[1][:1].isupper() or m[1] in TITLES:
+                continue
+            if m[2] and m[2][:1].isupper():  # two capitalised words: a given name, known or not, and the surname
+                found.append(Entity(*m.span(1), f"given_{_GENDER.get(m[1], 'u')}", m[1]))
                 found.append(Entity(*m.span(2), "surname", m[2]))
+            elif len(m[1]) > 1:
+                found.append(Entity(*m.span(1), "surname", m[1]))
         else:
             m = _LAST.match(text, end + 1)
             if m and m[1][:1].isupper() and m[1] not in _GENDER:
@@ -210,7 +208,7 @@ def surrogate(key: str, kind: str, canonical: str, attempt: int = 0) -> str:
         names = FEMALE if kind == "given_f" else MALE
         order = sorted(names, key=lambda n: _prf(key, tweak, n))
         return order[(order.index(canonical) + 1) % len(order)]
-    if kind == "surname":
+    if kind in ("surname", "given_u"):
         script = "cyrillic" if "Ѐ" <= canonical[0] <= "ӿ" else "greek" if "Ͱ" <= canonical[0] <= "Ͽ" else "latin"
         x, out = _prf(key, tweak, canonical), []
         for _ in range(max(3, min(6, len(canonical) // 2))):
@@ -232,7 +230,7 @@ def written(entity: Entity, mention: str, new: str) -> str:
         return "".join(out)
     if entity.kind == "email":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(mention, new, strict=True))
-    if mention.isupper() and entity.kind in ("surname", "given_f", "given_m"):
+    if mention.isupper() and entity.kind in ("surname", "given_f", "given_m", "given_u"):
         return new.upper()
     return new
 
@@ -268,7 +266,7 @@ def redrawn(found: DataFrame, key: str = KEY) -> DataFrame:
     Rounds go on until all stand-ins of a kind differ and none is its own
     original, at most ``ROUNDS``: an entity of a kind whose values are used up
     (all addresses of a small private network, say) then keeps its last draw.
-    Given names keep theirs: a list of names is permuted, so they can't meet.
+    Given names of the lists keep theirs: a list of names is permuted, so they can't meet.
     """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +274,7 @@ def redrawn(found: DataFrame, key: str = KEY) -> DataFrame:
             rows = zip(*(b.column(c).to_pylist() for c in ("kind", "canonical", "attempt")), strict=True)
             yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("canonical"), b.column("attempt"), pa.array([surrogate(key, *r) for r in rows], pa.string())], ["kind", "canonical", "attempt", "stand_in"])
 
-    found = found.where(~F.col("kind").startswith("given_"))
+    found = found.where(~F.col("kind").isin("given_f", "given_m"))
     now = stored(found.withColumn("attempt", F.lit(0)), "entities")
     for _ in range(ROUNDS):
         # Of those that share a stand-in the first keeps it, unless it is that entity itself.

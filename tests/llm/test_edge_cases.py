@@ -196,6 +196,17 @@ def test_surrogates(spark, docs):
     assert {r.doc_id: r.text for r in pii.with_surrogates(clean).collect()} == {r.doc_id: r.text for r in clean.collect()}
 
 
+def test_both_words_after_a_form_of_address_are_names(spark):
+    cases = {
+        "Dr. Ahmed Hassan wrote": [("given_u", "Ahmed"), ("surname", "Hassan")], "Mr. Jones said": [("surname", "Jones")], "Mr. Anna Schmidt": [("given_f", "Anna"), ("surname", "Schmidt")],
+        "Herr Dr. Weber kam": [("surname", "Weber")], "Mrs. Mary Smith and": [("given_f", "Mary"), ("surname", "Smith")], "Mr. said": [],
+    }
+    assert {t: [(e.kind, e.canonical) for e in pii.detect(t)] for t in cases} == cases
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.with_surrogates(df).collect()}
+    assert not any(name in out[i] for i, t in enumerate(cases) for _, name in cases[t])
+
+
 def test_permutations_keep_entities_apart_and_collisions_are_redrawn(spark):
     assert len({pii.surrogate("k", "phone", f"{i:04d}") for i in range(10000)}) == 10000
     assert sorted(pii._permuted("k", "t", [a, b], [7, 5]) for a in range(7) for b in range(5)) == [[a, b] for a in range(7) for b in range(5)]
