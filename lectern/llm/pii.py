@@ -7,8 +7,10 @@ length, check digits, private or public address, country code) and a name
 keeps script, and gender if it is a listed given name. One entity, however it is written, has one stand-in
 everywhere (coreference), and two entities have two (distinctness): numbers,
 mailboxes and secrets go through a keyed permutation of all strings of their
-shape; names are drawn by a keyed hash. A check over the corpus then finds
-stand-ins that meet or that equal their own original, and redraws them.
+shape; names are drawn by a keyed hash, each time from a space of one more
+syllable. A check over the corpus then finds stand-ins that meet, that equal
+their own original, or names that equal another original name, and redraws
+them until none is left.
 
 The check moves distinct entities only, never texts. Redrawn entities are
 carried to the tasks when they are few (``REDRAWN_AT_ONCE``), else joined to the
@@ -36,8 +38,10 @@ from lectern.llm.common import stored
 KEY = "lectern"
 #: Redrawn entities up to which they travel with the tasks (some 100 bytes each).
 REDRAWN_AT_ONCE = 20_000
-#: Rounds of drawing anew.
-ROUNDS = 16
+#: Rounds of drawing anew after which a kind counts as used up, which is an error.
+ROUNDS = 64
+#: Kinds drawn from a space that grows with each attempt, so that no stand-in need be an original.
+DRAWN = ("surname", "given_u")
 
 # Given names by gender and forms of address, with the gender they tell.
 FEMALE = "Anna Maria Marie Emma Mary Linda Julia Laura Sarah Lisa Sophie Claire Camille Carmen Elena Lucia Isabel Teresa Ingrid Katharina Ursula Monika Susan Karen Nancy Helen Alice Emily Olivia Charlotte".split()
@@ -208,10 +212,10 @@ def surrogate(key: str, kind: str, canonical: str, attempt: int = 0) -> str:
         names = FEMALE if kind == "given_f" else MALE
         order = sorted(names, key=lambda n: _prf(key, tweak, n))
         return order[(order.index(canonical) + 1) % len(order)]
-    if kind in ("surname", "given_u"):
+    if kind in DRAWN:
         script = "cyrillic" if "Ѐ" <= canonical[0] <= "ӿ" else "greek" if "Ͱ" <= canonical[0] <= "Ͽ" else "latin"
         x, out = _prf(key, tweak, canonical), []
-        for _ in range(max(3, min(6, len(canonical) // 2))):
+        for _ in range(max(3, min(6, len(canonical) // 2)) + attempt):
             x, k = divmod(x, 30)
             out.append(_SYLLABLES[script][k])
         return "".join(out).capitalize()
@@ -261,11 +265,13 @@ def entities(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
 
 
 def redrawn(found: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, canonical and attempt of the entities whose first stand-in meets another's or is the entity itself.
+    """kind, canonical and attempt of the entities whose first stand-in meets another's, is the entity itself or, for names, is an original.
 
-    Rounds go on until all stand-ins of a kind differ and none is its own
-    original, at most ``ROUNDS``: an entity of a kind whose values are used up
-    (all addresses of a small private network, say) then keeps its last draw.
+    Rounds go on until no such stand-in is left, the last draw being checked
+    as well. Names get a space 30 times as large with each attempt, so they
+    come to an end at any number. Numbers, mailboxes and secrets of a shape whose values are
+    used up (all addresses of a small private network, say) can't: entities
+    left after ``ROUNDS`` are an error that tells how many there are.
     Given names of the lists keep theirs: a list of names is permuted, so they can't meet.
     """
 
@@ -276,18 +282,21 @@ def redrawn(found: DataFrame, key: str = KEY) -> DataFrame:
 
     found = found.where(~F.col("kind").isin("given_f", "given_m"))
     now = stored(found.withColumn("attempt", F.lit(0)), "entities")
-    for _ in range(ROUNDS):
-        # Of those that share a stand-in the first keeps it, unless it is that entity itself.
+    originals = now.where(F.col("kind").isin(*DRAWN)).select("kind", F.col("canonical").alias("stand_in"), F.lit(True).alias("original"))
+    for turn in range(ROUNDS + 1):
+        # Of those that share a stand-in the first keeps it, unless it is that entity itself. Nobody keeps another's name.
         firsts = now.where("canonical <> stand_in").groupBy("kind", "stand_in").agg(F.min("canonical").alias("first"))
-        marked = now.join(firsts, ["kind", "stand_in"], "left")
-        bad = marked.where("canonical = stand_in or canonical <> first")
+        marked = now.join(firsts, ["kind", "stand_in"], "left").join(originals, ["kind", "stand_in"], "left")
+        bad = marked.where("canonical = stand_in or canonical <> first or original")
         bad = stored(bad.select("kind", "canonical", (F.col("attempt") + 1).cast("int").alias("attempt")), "redrawn")
         if bad.isEmpty():
-            break
+            return now.where("attempt > 0").select("kind", "canonical", "attempt")
+        if turn == ROUNDS:
+            left = ", ".join(f"{n} of kind {kind}" for kind, n in sorted(bad.groupBy("kind").count().collect()))
+            raise ValueError(f"no stand-in of their own after {ROUNDS} rounds for {left}")
         fresh = bad.mapInArrow(draw, "kind string, canonical string, attempt int, stand_in string")
         rest = now.join(bad.select("kind", "canonical"), ["kind", "canonical"], "left_anti")
         now = stored(rest.select("kind", "canonical", "stand_in", "attempt").unionByName(fresh), "entities")
-    return now.where("attempt > 0").select("kind", "canonical", "attempt")
 
 
 def with_surrogates(docs: DataFrame, key: str = KEY, text: str = "text", counts: bool = False) -> DataFrame:

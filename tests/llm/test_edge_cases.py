@@ -218,6 +218,21 @@ def test_permutations_keep_entities_apart_and_collisions_are_redrawn(spark):
     assert len(again) == 30 and len(set(final.values())) == 60 and all(c != s for c, s in final.items())
 
 
+def test_more_short_surnames_than_short_stand_ins_stay_apart(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"X{letters[i // 676 % 26]}{letters[i // 26 % 26]}{letters[i % 26]}{letters[i // 17576]}" for i in range(30_000)]
+    names.append(pii.surrogate("k", "surname", names[0]))  # an original that is another's first stand-in
+    first = {n: pii.surrogate("k", "surname", n) for n in names}
+    found = spark.createDataFrame([("surname", n, s) for n, s in first.items()], "kind string, canonical string, stand_in string")
+    again = {r.canonical: r.attempt for r in pii.redrawn(found, "k").collect()}
+    final = [pii.surrogate("k", "surname", n, again.get(n, 0)) for n in first]
+    assert len(set(final)) == len(final) == 30_001 and not set(final) & set(names)
+    monkeypatch.setattr(pii, "ROUNDS", 1)
+    used_up = spark.createDataFrame([("secret", "--", "--"), ("secret", "-", "-")], "kind string, canonical string, stand_in string")
+    with pytest.raises(ValueError, match="2 of kind secret"):
+        pii.redrawn(used_up, "k")
+
+
 def test_redrawn_entities_reach_the_texts_by_either_way(spark, monkeypatch):
     real = pii.surrogate
     monkeypatch.setattr(pii, "entities", lambda docs, key, text: spark.createDataFrame([("ssn", "123456789", "1"), ("ssn", "123456780", "1")], "kind string, canonical string, stand_in string"))
