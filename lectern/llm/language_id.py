@@ -5,6 +5,11 @@ compressor; a text belongs to the language under whose dictionary it becomes
 smallest. The lead over the runner-up is the margin; narrow margins are
 rejected in the column ``accepted``, while ``lang_pred`` keeps the best guess.
 
+A dictionary helps only as far as it reaches, so a long text is taken in
+blocks (``BLOCK_BYTES``, all of about one length) that cover it whole, each
+compressed afresh; their sizes are summed, and margin and score don't depend on
+how long the text is.
+
 The dictionaries hold at most ``dictionary_bytes`` of at most ``rows_per_lang``
 texts a language (documented bounds); every whole text is classified.
 
@@ -28,6 +33,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import held_out
 
 ROWS_PER_LANG, DICTIONARY_BYTES = 400, 32 * 1024
+#: Bytes of a text that are compressed at once.
+BLOCK_BYTES = 2 * 1024
 #: Lead in bits a byte of text under which a guess is rejected.
 NARROW = 0.02
 _LETTER = re.compile(r"[^\W\d_]")
@@ -55,6 +62,12 @@ def dictionaries(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, dictionary
     return {lang: b"\n".join(list(texts[lang])[::-1])[-dictionary_bytes:] for lang in sorted(texts, key=lambda x: (-counts[x], x))}
 
 
+def blocks(raw: bytes, most: int = BLOCK_BYTES) -> list[bytes]:
+    """The whole text in blocks of ``most`` bytes at most, of equal length but for one byte."""
+    n = max(1, -(-len(raw) // most))
+    return [raw[len(raw) * k // n : len(raw) * (k + 1) // n] for k in range(n)]
+
+
 def classified(docs: DataFrame, learned: dict[str, bytes], narrow: float = NARROW) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), margin (bits a byte) and accepted of every row."""
     langs = list(learned)
@@ -74,7 +87,8 @@ def classified(docs: DataFrame, learned: dict[str, bytes], narrow: float = NARRO
                     pred.append("und"), score.append(0.0), margin.append(0.0)
                     continue
                 raw = t.lower().encode()
-                sizes = sorted(((len(c.compress(raw)), x) for c, x in zip(tools, langs, strict=True)), key=lambda x: x[0])
+                parts = blocks(raw)
+                sizes = sorted(((sum(len(c.compress(p)) for p in parts), x) for c, x in zip(tools, langs, strict=True)), key=lambda x: x[0])
                 lead = 8 * (sizes[1][0] - sizes[0][0]) / len(raw) if len(sizes) > 1 else 8.0
                 # The share of the likelihood that the best language has, each size being a code length for 40 bytes.
                 rest = sum(2.0 ** (-8 * 40 * (s - sizes[0][0]) / len(raw)) for s, _ in sizes)

@@ -373,6 +373,23 @@ def test_language_id(spark, docs):
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def test_language_margin_does_not_sink_with_length(spark):
+    rng = random.Random(11)
+    words = {x: ["".join(rng.choice(a) + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(3000)] for x, a in (("en", "thwsdr"), ("de", "schkgz"), ("fr", "lmpqvj"))}
+    text = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n // 6 + n // 8))[:n]
+    learned = {x: text(x, 32_000).encode() for x in words}
+    data = [(f"{x}{n}", text(x, n)) for x in words for n in (1_000, 20_000, 1_000_000)]
+    out = {r.doc_id: r for r in language_id.classified(spark.createDataFrame(data, "doc_id string, text string"), learned).collect()}
+    for x in words:
+        short = out[f"{x}1000"]
+        for n in (20_000, 1_000_000):
+            r = out[f"{x}{n}"]
+            assert len(dict(data)[r.doc_id]) == n and r.lang_pred == x and r.accepted and r.margin > short.margin / 2 and r.score > 0.9
+    raw = "aé日".encode() * 3001
+    parts = language_id.blocks(raw)
+    assert b"".join(parts) == raw and max(map(len, parts)) <= language_id.BLOCK_BYTES and language_id.blocks(b"x") == [b"x"]
+
+
 def test_revisits(spark):
     h = [("content-type", "text/html"), ("date", "1")]
     rows_ = [
