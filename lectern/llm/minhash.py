@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import ascii_lower, stored, words
@@ -257,6 +257,15 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 
 def without_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id, with the columns it came with."""
+    """One document of each component stays, the one with the smallest doc_id, with the columns it came with.
+
+    Of rows that repeat a doc_id and its text one stays; rows without a doc_id all stay.
+    """
     gone = link_components(docs, size, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = stored(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    same = Window.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    again = left.join(repeated, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(same)).where("_copy = 1")
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))

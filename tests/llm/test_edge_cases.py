@@ -196,6 +196,14 @@ def test_surrogates(spark, docs):
     assert {r.doc_id: r.text for r in pii.with_surrogates(clean).collect()} == {r.doc_id: r.text for r in clean.collect()}
 
 
+def test_repeated_rows_leave_one(spark):
+    data = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "a b c d e f", "x"), (3, "other words here", "x"), (3, "nothing in common", "x"), (None, "a b", "x"), (None, "a b", "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    out = minhash.without_near_copies(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text, r.lang) for r in out.collect()) == [(0, "a b", "x"), (0, "a b", "x"), (1, "a b c d e f", "x"), (3, "nothing in common", "x"), (3, "other words here", "x")]
+
+
 def test_both_words_after_a_form_of_address_are_names(spark):
     cases = {
         "Dr. Ahmed Hassan wrote": [("given_u", "Ahmed"), ("surname", "Hassan")], "Mr. Jones said": [("surname", "Jones")], "Mr. Anna Schmidt": [("given_f", "Anna"), ("surname", "Schmidt")],
