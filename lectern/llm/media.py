@@ -16,6 +16,7 @@ text are read.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -91,13 +92,31 @@ def _valid(kind: str, raw: bytes, at: int) -> tuple[str, int]:
             if name == b"IEND":
                 return kind, pos - at
     elif kind == "image/jpeg":
-        end = raw.find(b"\xff\xd9", at + 3)
-        if left > 4 and raw[at + 3] in range(0xC0, 0xFF) and end > 0:
-            return kind, end + 2 - at
+        pos = at + 2
+        while pos + 4 <= len(raw) and raw[pos] == 0xFF and raw[pos + 1] in range(0xC0, 0xFF) and not 0xD0 <= raw[pos + 1] <= 0xD8:
+            if raw[pos + 1] == 0xD9:
+                break
+            scan, pos = raw[pos + 1] == 0xDA, pos + 2 + max(2, struct.unpack_from(">H", raw, pos + 2)[0])
+            if scan:  # coded data go on to the next marker that is no restart and no escaped FF
+                mark = _JPEG_MARK.search(raw, pos)
+                pos = mark.start() if mark else len(raw)
+        if pos > at + 2 and raw[pos : pos + 2] == b"\xff\xd9":
+            return kind, pos + 2 - at
     elif kind == "image/gif" and left >= 14:
-        end = raw.find(b"\x00\x3b", at + 13)
-        if all(struct.unpack_from("<HH", raw, at + 6)) and end > 0:
-            return kind, end + 2 - at
+        table = lambda flags: 3 << (flags & 7) + 1 if flags & 0x80 else 0
+        pos = at + 13 + table(raw[at + 10])
+        while all(struct.unpack_from("<HH", raw, at + 6)) and pos < len(raw):
+            if raw[pos] == 0x3B:
+                return kind, pos + 1 - at
+            if raw[pos] == 0x21:
+                pos += 2
+            elif raw[pos] == 0x2C and pos + 10 <= len(raw):
+                pos += 11 + table(raw[pos + 9])
+            else:
+                break
+            while pos < len(raw) and raw[pos]:
+                pos += 1 + raw[pos]
+            pos += 1
     elif kind == "image/bmp" and left >= 54:
         size, zero, offset, head = struct.unpack_from("<IIII", raw, at + 2)
         if zero == 0 and head in (12, 40, 52, 56, 108, 124) and 14 + head <= offset <= size <= left:
@@ -131,13 +150,19 @@ def _valid(kind: str, raw: bytes, at: int) -> tuple[str, int]:
     elif kind == "application/pdf":
         end = raw.find(b"%%EOF", at)
         if end > 0 and raw[at + 5 : at + 6].isdigit():
+            # Each save ends in a mark of its own, behind the place of its cross-references: the last that fits counts.
+            for m in _PDF_END.finditer(raw, at):
+                place = at + int(m[1])
+                if max(at, raw.rfind(b"%PDF-", at, m.start())) < place < m.start() and (raw[place : place + 4] == b"xref" or raw[place : place + 1].isdigit()):
+                    end = m.end() - 5
             return kind, end + 5 - at
     elif kind == "application/zip" and left >= 52:
         end = raw.find(b"PK\x05\x06", at)
-        if 0 < end <= len(raw) - 22:
+        while 0 < end <= len(raw) - 22:  # an archive within has a record of its own, whose offsets don't fit
             size, offset, extra = struct.unpack_from("<IIH", raw, end + 12)
             if at + offset + size == end and end + 22 + extra <= len(raw):
                 return kind, end + 22 + extra - at
+            end = raw.find(b"PK\x05\x06", end + 4)
     elif kind == "application/gzip" and left >= 18 and not raw[at + 3] & 0xE0:
         tool = zlib.decompressobj(31)
         try:
@@ -149,6 +174,8 @@ def _valid(kind: str, raw: bytes, at: int) -> tuple[str, int]:
     return kind, 0
 
 
+_PDF_END = re.compile(rb"startxref\s{1,4}(\d{1,12})\s{1,4}%%EOF")
+_JPEG_MARK = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]", re.S)
 _automata: list = []
 
 

@@ -122,6 +122,27 @@ def test_sniffing_confirms_structure_and_carves():
         media.wave_samples(b"RIFFxxxxWAVE")
 
 
+def test_carving_reaches_the_end_of_nested_media():
+    import io
+    import zipfile
+
+    def archive(name, data):
+        z = io.BytesIO()
+        with zipfile.ZipFile(z, "w") as f:
+            f.writestr(name, data)
+        return z.getvalue()
+
+    small = b"\xff\xd8\xff\xdb\x00\x04ab\xff\xda\x00\x02xy\xff\xd9"
+    photo = b"\xff\xd8\xff\xe1" + (2 + len(small)).to_bytes(2, "big") + small + b"\xff\xda\x00\x02x\xff\x00y\xff\xd0z\xff\xd9"
+    gif = b"GIF89a\x01\x00\x01\x00\x80\x00\x00" + b"\x00" * 6 + b"\x21\xf9\x04\x00\x00\x00\x00\x00" + b"\x2c" + b"\x00" * 4 + b"\x01\x00\x01\x00\x00" + b"\x02\x04\x00\x3b\x00\x3b\x00\x3b"
+    nested = archive("a.zip", archive("b", "c"))
+    saved = b"%PDF-1.4\nxref\nstartxref\n9\n%%EOF\nmore\nxref\nstartxref\n37\n%%EOF"
+    assert saved[37:41] == b"xref"
+    for kind, data in (("image/jpeg", photo), ("image/gif", gif), ("application/zip", nested), ("application/pdf", saved)):
+        first = media.described(b"ab" + data + b"cd" + (data if kind == "application/pdf" else b""), "text/plain")[1][0]
+        assert (first.kind, first.start, first.length) == (kind, 2, len(data))
+
+
 def brute_components(texts, size, percent):
     def shingles(t):
         w = split_words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
