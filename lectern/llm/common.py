@@ -52,12 +52,38 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lectern-{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def _written(df: DataFrame, path: str, compression: str) -> DataFrame:
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, a lost executor costs nothing."""
-    path = new_folder(df.sparkSession, tag)
-    df.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    return out
+    return _written(df, new_folder(df.sparkSession, tag), compression)
+
+
+class Tables:
+    """Stored tables of one computation; all but those kept are deleted when it ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.own = spark, []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*[t for t, _ in self.own])
+
+    def store(self, df: DataFrame, tag: str) -> DataFrame:
+        path = new_folder(self.spark, tag)
+        self.own.append((_written(df, path, "zstd"), path))
+        return self.own[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        gone = [x for x in self.own if any(x[0] is t for t in tables)]
+        self.own = [x for x in self.own if not any(x[0] is t for t in tables)]
+        for _, path in gone:
+            dropped(self.spark, path)
 
 
 def dropped(spark: SparkSession, path: str) -> None:

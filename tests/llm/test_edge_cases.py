@@ -188,6 +188,45 @@ def test_components_against_brute_force(spark, monkeypatch, size, percent):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_large_buckets_of_apart_documents_join_by_tiles(spark, monkeypatch):
+    """Chains whose ends are far apart fill large buckets with several components; small tiles and blocks join all of them."""
+    for name, value in (("PAIRS_UP_TO", 3), ("TILE", 4), ("TILE_SHINGLES", 400), ("HUB_BLOCK", 2)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(21)
+    texts, common = {}, [f"c{i}" for i in range(60)]
+    for chain in range(6):
+        w = common + [f"k{chain}x{i}" for i in range(60)]
+        for i in range(9):
+            texts[chain * 9 + i] = " ".join(w)
+            w = list(w)
+            for _ in range(2):
+                w[60 + rng.randrange(60)] = f"n{rng.randint(0, 10**6)}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.link_components(df, 3, 85, bands=60, rows=2).collect()}
+    assert got == brute_components(texts, 3, 85)
+
+
+def test_near_copies_of_long_texts_and_repeated_ids(spark):
+    rng = random.Random(22)
+    long = [f"w{rng.randint(0, 10**6)}" for _ in range(20_000)]
+    texts = {}
+    for i in range(40):
+        w = list(long)
+        for _ in range(rng.choice([0, 5, 500])):
+            w[rng.randrange(len(w))] = f"e{rng.randint(0, 10**9)}"
+        texts[i] = " ".join(w)
+    texts[40] = " ".join(long[:15_000])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.link_components(df, 3, 85).collect()}
+    assert got == brute_components(texts, 3, 85)
+    # One doc_id with two texts: each row is linked by its own text, and the other one stays apart.
+    a, b, c = ("a b c d e f g h", "p q r s t u v w", "x y z k l m n o")
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (7, b.upper()), (9, c), (9, c.upper())], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.link_components(df, 3, 85).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (7, 5, False), (9, 9, True), (9, 9, True)]
+    assert sorted(tuple(r) for r in minhash.without_near_copies(df).collect()) == sorted([(1, a), (5, b), (9, c.upper())])
+
+
 def test_components_of_odd_tables(spark, docs):
     assert minhash.link_components(docs.limit(0), 3, 85).count() == 0
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "a b c d")], "doc_id long, text string")
