@@ -7,10 +7,15 @@ and valid media inside the payload are carved out with their place and length.
 
 Payloads are stored as 8-bit mono WAVE: a RIFF header and the bytes as samples.
 
-Defined results: null is an empty text, stored as 64 zero samples; bytes of no
-known format are ``application/octet-stream`` with nothing carved; equal bytes
-give equal results; an empty table gives an empty result; only the id and the
-text are read.
+Work is linear in the payload: a PDF's marks are paired once for all of them,
+nested up to ``NESTED`` deep, and compressed data are checked in blocks, of
+which one at a time is held.
+
+Defined results: null is an empty text, stored as 64 zero samples; texts are
+stored whole, whatever their length; bytes of no known format are
+``application/octet-stream`` with nothing carved; equal bytes give equal
+results; an empty table gives an empty result; only the id and the text are
+read.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from lectern.llm.common import stored
 
 BLOCK, RATE = 64, 8000
 UNKNOWN = "application/octet-stream"
+#: Bytes taken in and given out at once while compressed data are checked; PDFs within each other that are told apart.
+INFLATED, NESTED = 1 << 16, 32
 
 # The magic bytes of public formats and how far from the start they stand.
 MAGICS = (
@@ -63,7 +70,7 @@ def wave(payload: bytes, rate: int = RATE) -> bytes:
 
 def wave_samples(media: bytes) -> bytes:
     """The samples of a WAVE file; ValueError if it isn't one."""
-    if _valid("riff", media, 0)[0] != "audio/wav":
+    if _valid("riff", media, 0, {})[0] != "audio/wav":
         raise ValueError("not a WAVE file")
     at = 12
     while at + 8 <= len(media):
@@ -74,8 +81,8 @@ def wave_samples(media: bytes) -> bytes:
     raise ValueError("no samples")
 
 
-def _valid(kind: str, raw: bytes, at: int) -> tuple[str, int]:
-    """The type and length of a well-formed medium at a place, length 0 if there is none."""
+def _valid(kind: str, raw: bytes, at: int, ends: dict) -> tuple[str, int]:
+    """The type and length of a well-formed medium at a place, length 0 if there is none. ends: what is found once for all places."""
     left = len(raw) - at
     if kind == "riff" and left >= 20:
         size, form = struct.unpack_from("<I4s", raw, at + 4)
@@ -148,32 +155,64 @@ def _valid(kind: str, raw: bytes, at: int) -> tuple[str, int]:
             pos += size
         return kind, pos - at
     elif kind == "application/pdf":
-        end = raw.find(b"%%EOF", at)
-        if end > 0 and raw[at + 5 : at + 6].isdigit():
-            # Each save ends in a mark of its own, behind the place of its cross-references: the last that fits counts.
-            for m in _PDF_END.finditer(raw, at):
-                place = at + int(m[1])
-                if max(at, raw.rfind(b"%PDF-", at, m.start())) < place < m.start() and (raw[place : place + 4] == b"xref" or raw[place : place + 1].isdigit()):
-                    end = m.end() - 5
-            return kind, end + 5 - at
+        if at not in ends:
+            ends |= _pdf_ends(raw)
+        return kind, ends.get(at, at) - at
     elif kind == "application/zip" and left >= 52:
-        end = raw.find(b"PK\x05\x06", at)
-        while 0 < end <= len(raw) - 22:  # an archive within has a record of its own, whose offsets don't fit
-            size, offset, extra = struct.unpack_from("<IIH", raw, end + 12)
-            if at + offset + size == end and end + 22 + extra <= len(raw):
-                return kind, end + 22 + extra - at
-            end = raw.find(b"PK\x05\x06", end + 4)
+        if None not in ends:  # where an archive that each record of an end tells would begin: one within has a record of its own
+            ends[None] = {}
+            for m in re.finditer(rb"PK\x05\x06", raw):
+                if m.start() + 22 <= len(raw):
+                    size, offset, extra = struct.unpack_from("<IIH", raw, m.start() + 12)
+                    if m.start() + 22 + extra <= len(raw):
+                        ends[None].setdefault(m.start() - offset - size, m.start() + 22 + extra)
+        return kind, ends[None].get(at, at) - at
     elif kind == "application/gzip" and left >= 18 and not raw[at + 3] & 0xE0:
-        tool = zlib.decompressobj(31)
+        tool, pos = zlib.decompressobj(31), at
         try:
-            tool.decompress(raw[at:])
+            while not tool.eof and pos < len(raw):
+                more = raw[pos : pos + INFLATED]
+                pos += len(more)
+                while more and not tool.eof:  # what comes out is checked by its own sum and let go
+                    tool.decompress(more, INFLATED)
+                    more = tool.unconsumed_tail
         except zlib.error:
             return kind, 0
         if tool.eof:
-            return kind, left - len(tool.unused_data)
+            return kind, pos - len(tool.unused_data) - at
     return kind, 0
 
 
+def _pdf_ends(raw: bytes) -> dict[int, int]:
+    """The end of each PDF by its start; its own start where it has none.
+
+    Each save ends in a mark of its own, behind the place of its
+    cross-references: the last that fits counts, else the first mark. A mark
+    belongs to the innermost PDF that it fits, and ends those within.
+    """
+    heads = [m.start() for m in re.finditer(rb"%PDF-", raw)]
+    out, first = {}, 0
+    for at in heads:
+        if first >= 0:
+            first = raw.find(b"%%EOF", max(first, at))
+        out[at] = first + 5 if first > 0 and raw[at + 5 : at + 6].isdigit() else at
+    opened: list[int] = []
+    after = iter(heads)
+    head = next(after, None)
+    for m in _PDF_END.finditer(raw):
+        while head is not None and head < m.start():
+            opened.append(head)
+            head = next(after, None)
+        for depth in range(1, min(NESTED, len(opened)) + 1):
+            at = opened[-depth]
+            place = at + int(m[1])
+            if out[at] > at and max(opened[-1], at) < place < m.start() and (raw[place : place + 4] == b"xref" or raw[place : place + 1].isdigit()):
+                out[at] = m.end()
+                del opened[len(opened) - depth + 1 :]
+                break
+    return out
+
+
 _PDF_END = re.compile(rb"startxref\s{1,4}(\d{1,12})\s{1,4}%%EOF")
 _JPEG_MARK = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]", re.S)
 _automata: list = []
@@ -193,12 +232,13 @@ def _automaton():
 
 def sniff(raw: bytes) -> list[Found]:
     """All valid media in the bytes in order, outermost only at each place; one in another is listed too."""
-    found = []
+    found: list[Found] = []
+    ends: dict = {}
     for end, k in _automaton().iter(raw.decode("latin-1")):
         magic, offset, kind = MAGICS[k]
         start = end + 1 - len(magic) - offset
         if start >= 0:
-            kind, length = _valid(kind, raw, start)
+            kind, length = _valid(kind, raw, start, ends)
             if length:
                 found.append(Found(kind, start, length))
     return sorted(found, key=lambda x: (x.start, -x.length))
