@@ -7,7 +7,8 @@ length, check digits, private or public address, country code) and a name
 keeps script, and gender if it is a listed given name. One entity, however it is written, has one stand-in
 everywhere (coreference), and two entities have two (distinctness): numbers,
 mailboxes and secrets go through a keyed permutation of all strings of their
-shape; names are drawn by a keyed hash, each time from a space of one more
+shape (addresses, of all addresses of their class) that leaves none in its
+place; the mailboxes of a domain stay in one domain; names are drawn by a keyed hash, each time from a space of one more
 syllable. A check over the corpus then finds stand-ins that meet, that equal
 their own original, or names that equal another original name, and redraws
 them until none is left.
@@ -17,12 +18,15 @@ carried to the tasks when they are few (``REDRAWN_AT_ONCE``), else joined to the
 documents that mention them.
 
 Defined results: null texts stay null and empty ones empty; a text without
-entities stays as it is; repeated rows get equal results; an empty table gives
-an empty result; further columns keep their names and values.
+entities stays as it is; texts are searched whole, in time linear in their
+entities; repeated rows get equal results; an empty table gives an empty
+result; further columns, the id among them, keep their names and values.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import hmac
 import re
@@ -139,12 +143,12 @@ def detect(text: str) -> list[Entity]:
                 found.append(Entity(start, end + 1, f"given_{_GENDER[word]}", word))
                 found.append(Entity(*m.span(1), "surname", m[1]))
     order = {k: i for i, k in enumerate(("email", "secret", "ip", "iban", "card", "ssn", "phone"))}
-    kept, taken = [], []
+    taken: list[Entity] = []  # in order and apart, so that only the neighbours can overlap
     for e in sorted(found, key=lambda e: (order.get(e.kind, 9), e.start, -e.end)):
-        if all(e.end <= a or e.start >= b for a, b in taken):
-            kept.append(e)
-            taken.append((e.start, e.end))
-    return sorted(kept)
+        k = bisect.bisect(taken, (e.start,))
+        if (not k or taken[k - 1].end <= e.start) and (k == len(taken) or e.end <= taken[k].start):
+            taken.insert(k, e)
+    return taken
 
 
 def _prf(key: str, *parts: object) -> int:
@@ -152,7 +156,10 @@ def _prf(key: str, *parts: object) -> int:
 
 
 def _permuted(key: str, tweak: str, values: list[int], sizes: list[int]) -> list[int]:
-    """A keyed permutation of all lists of digits with these radices: a Feistel network that adds modulo each half."""
+    """A keyed permutation of all lists of digits with these radices that leaves none in its place.
+
+    Between a Feistel network, which adds modulo each half, and its inverse all lists move on by one.
+    """
     half = (len(values) + 1) // 2
     mods = [1, 1]
     for k, n in enumerate(sizes):
@@ -160,9 +167,13 @@ def _permuted(key: str, tweak: str, values: list[int], sizes: list[int]) -> list
     sides = [0, 0]
     for k, (v, n) in enumerate(zip(values, sizes, strict=True)):
         sides[k >= half] = sides[k >= half] * n + v
-    for turn in range(8):
-        side = turn % 2
-        sides[side] = (sides[side] + _prf(key, tweak, sizes, turn, sides[1 - side])) % mods[side]
+    turn_by = lambda turn: _prf(key, tweak, sizes, turn, sides[1 - turn % 2])
+    for turn in range(4):
+        sides[turn % 2] = (sides[turn % 2] + turn_by(turn)) % mods[turn % 2]
+    at = (sides[0] * mods[1] + sides[1] + 1) % (mods[0] * mods[1])
+    sides[:] = divmod(at, mods[1])
+    for turn in reversed(range(4)):
+        sides[turn % 2] = (sides[turn % 2] - turn_by(turn)) % mods[turn % 2]
     out = []
     for k in reversed(range(len(sizes))):
         side = k >= half
@@ -184,27 +195,52 @@ def _same_shape(key: str, tweak: str, s: str, classes: tuple[str, ...] = _CLASSE
     return "".join(c[next(new)] if c else x for x, c in zip(s, which, strict=True))
 
 
-def _private(ip: list[int]) -> int:
-    return 1 if ip[0] == 10 else 2 if ip[:2] == [192, 168] else 3 if ip[0] == 172 and 16 <= ip[1] < 32 else 4 if ip[0] == 127 else 5 if ip[0] in (0, 255) or ip[0] >= 224 else 0
-
-
+# Private, loopback and other reserved networks as the octets that stay, the ranges of the next one and how many follow it.
+_NETWORKS = (((10,), None), ((192, 168), None), ((172,), (16, 32)), ((127,), None))
+_RESERVED = (0, *range(224, 256))
+
+
+def _class(address: str) -> int:
+    """0 for public addresses, else which network."""
+    ip = [int(x) for x in address.split(".")]
+    for k, (head, between) in enumerate(_NETWORKS, 1):
+        if tuple(ip[: len(head)]) == head and (between is None or between[0] <= ip[len(head)] < between[1]):
+            return k
+    return len(_NETWORKS) + 1 if ip[0] in _RESERVED else 0
+
+
+def _address(key: str, tweak: str, address: str) -> str:
+    """Another address of the same class; only the octets that vary within it are permuted."""
+    ip, kind = [int(x) for x in address.split(".")], _class(address)
+    if not kind:  # nearly all addresses are public: few steps of the permutation's cycle lead out and back
+        while True:
+            ip = _permuted(key, tweak, ip, [256] * 4)
+            new = ".".join(map(str, ip))
+            if not _class(new) and new != address:
+                return new
+    if kind > len(_NETWORKS):
+        first, *rest = _permuted(key, f"{tweak}/{kind}", [_RESERVED.index(ip[0]), *ip[1:]], [len(_RESERVED), 256, 256, 256])
+        return ".".join(map(str, (_RESERVED[first], *rest)))
+    head, between = _NETWORKS[kind - 1]
+    low, high = between or (0, 256)
+    rest = ip[len(head) :]
+    next_, *rest = _permuted(key, f"{tweak}/{kind}", [rest[0] - low, *rest[1:]], [high - low, *[256] * (len(rest) - 1)])
+    return ".".join(map(str, (*head, next_ + low, *rest)))
+
+
+@functools.lru_cache(maxsize=1 << 16)
 def surrogate(key: str, kind: str, canonical: str, attempt: int = 0) -> str:
     """The stand-in of an entity in canonical form. attempt: how often it was redrawn."""
     tweak = f"{kind}/{attempt}"
     if kind == "email":
         local, _, domain = canonical.rpartition("@")
         name, _, top = domain.rpartition(".")
-        return f"{_same_shape(key, tweak + domain, local)}@{_same_shape(key, tweak, name)}.{top}"
+        return f"{_same_shape(key, tweak + domain, local)}@{_same_shape(key, f'{kind}/0', name)}.{top}"
     if kind == "card":
         body = _same_shape(key, tweak, canonical[:-1], _CLASSES[:1])
         return next(body + d for d in "0123456789" if _luhn(body + d))
     if kind == "ip":
-        ip = [int(x) for x in canonical.split(".")]
-        new = ip
-        while True:  # walks the cycle of the permutation until an address of the same class
-            new = _permuted(key, tweak, new, [256] * 4)
-            if _private(new) == _private(ip):
-                return ".".join(map(str, new))
+        return _address(key, tweak, canonical)
     if kind == "iban":
         body = _same_shape(key, tweak, canonical[4:])
         return next(canonical[:2] + f"{c:02d}" + body for c in range(2, 99) if _iban_ok(canonical[:2] + f"{c:02d}" + body))
