@@ -10,8 +10,9 @@ their border in the order of merges, no merge across the border comes first
 Decoding gathers the bytes of all ids through a table of offsets into one blob.
 
 Defined results: null is the empty text, which has no ids; a special token's
-string in a text becomes its id; repeated rows get equal results; an empty
-table gives an empty result; only the id and the text column are read.
+string in a text becomes its id; texts are encoded whole, whatever their
+length; repeated rows get equal results, and null ids stay null; an empty table
+gives an empty result; only the id and the text column are read.
 """
 
 from __future__ import annotations
@@ -39,10 +40,11 @@ def _byte_alphabet() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of one byte-level vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import ahocorasick
         import regex
 
+        self.cache_words = cache_words
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = _byte_alphabet()
@@ -61,7 +63,7 @@ class Codec:
         for t, i in self.ids.items():
             self.automaton.add_word(t.decode("latin-1"), (len(t), i))
         self.automaton.make_automaton()
-        self.words, self.pairs, self.shorter = {}, {}, {}
+        self.words, self.old, self.pairs, self.shorter = {}, {}, {}, {}
         self._any = regex.compile(_ANY)
         self._apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         top = max([*self.bytes, *self.special.values()]) + 1
@@ -142,11 +144,12 @@ class Codec:
         found = _BYTE_LEVEL.findall(text) if _SAFE.fullmatch(text) else self._any.findall(text)
         known = self.words
         if missing := set(found).difference(known):
-            if len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
+            if len(known) + len(missing) > self.cache_words:
+                # A full generation becomes the old one, from which words that are met again move on.
+                self.old, self.words = known, (known := {})
                 missing = set(found)
             for w in missing:
-                known[w] = np.asarray(self.word(w.encode()), "<u4").tobytes()
+                known[w] = self.old.get(w) or np.asarray(self.word(w.encode()), "<u4").tobytes()
         return b"".join([known[w] for w in found])
 
     def encode(self, text: str | None) -> bytes:
