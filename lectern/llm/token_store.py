@@ -8,15 +8,17 @@ stored once. The Merkle root over the chunk addresses is kept with the recipe,
 and reading back verifies it against the bytes.
 
 File format: Parquet rows in ascending doc_id order with ``own`` (the owned
-chunks end to end, ids as little-endian unsigned 16-bit integers where the
-vocabulary fits, else 32-bit), the sizes of all chunks, which of them are
+chunks end to end, ids as little-endian unsigned integers of ``width`` bytes: 2
+where the vocabulary fits, else 4), the sizes of all chunks, which of them are
 owned, the owners of the rest, the root, and the document's place in the stream
 of all ids. Only chunk addresses, never payloads, meet to find copies; payloads
 move once to be written in order, and again only for chunks owned elsewhere.
 
-Defined results: null is the empty text, which has the end id alone; rows that
-repeat a doc_id are stored each, in a fixed order; an empty table gives an
-empty store; only the id and the text are read.
+Defined results: null is the empty text, which has the end id alone; texts are
+stored whole, whatever their length; rows that repeat a doc_id are stored each,
+in the order of their roots, and those without one come first; an empty table
+gives an empty store; only the id and the text are read. An id that the width
+doesn't hold is an error.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import dropped, new_folder, shuffle_width, stored
-from lectern.llm.tokens import encoder
+from lectern.llm.tokens import encoder, largest_id
 
 END_ID = 1
 #: Ids under the rolling hash; mean, least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 1024
+#: The order of the rows of a store: equal roots mean equal ids, so only rows that don't differ are told apart by uid.
+ORDER = ("doc_id", "root", "uid")
 _U = np.uint64
 
 
@@ -51,10 +55,10 @@ def marks(ids: np.ndarray) -> np.ndarray:
 
     A window may reach into the document before only within its first ids, where no chunk ends (LEAST > WINDOW).
     """
-    g = _gear(ids)
-    h = g.copy()
-    for k in range(1, WINDOW):
-        h[k:] += g[:-k] << _U(k)
+    h, k = _gear(ids), 1
+    while k < WINDOW:  # a window twice as long is two of these, the older one shifted
+        h[k:] += h[:-k].copy() << _U(k)
+        k *= 2
     return np.flatnonzero((h >> _U(WINDOW)) % _U(MEAN) == 0) + 1
 
 
@@ -99,6 +103,8 @@ def _staged(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
                 streams = [tool.encode(t) + end for t in part.column("text").to_pylist()]
                 n = [len(x) // 4 for x in streams]
                 flat = np.frombuffer(b"".join(streams), "<u4")
+                if len(flat) and int(flat.max()) >> 8 * width:
+                    raise ValueError(f"id {flat.max()} doesn't fit into {width} bytes")
                 found, raw, start = marks(flat), flat.astype(f"<u{width}").tobytes(), 0
                 sizes, addresses, roots, payloads = [], [], [], []
                 for size in n:
@@ -119,7 +125,7 @@ def _staged(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
 
 
 def _starts(lengths: DataFrame, parts: int) -> DataFrame:
-    """uid, doc_id and start (the ids of all rows before it in order) of rows with uid, doc_id and n_tokens.
+    """uid, doc_id, root and start (the ids of all rows before it in order) of rows with uid, doc_id, root and n_tokens.
 
     Sums run within range partitions; of each partition only its total meets the driver.
     """
@@ -130,23 +136,24 @@ def _starts(lengths: DataFrame, parts: int) -> DataFrame:
             n = b.column("n_tokens").to_numpy()
             local = done + np.cumsum(n) - n
             done += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(local), b.column("n_tokens"), pa.array(np.full(len(n), part, np.int32))], ["uid", "doc_id", "local", "n_tokens", "part"])
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("root"), pa.array(local), b.column("n_tokens"), pa.array(np.full(len(n), part, np.int32))], ["uid", "doc_id", "root", "local", "n_tokens", "part"])
 
     kind = lengths.schema["doc_id"].dataType.simpleString()
-    dealt = lengths.repartitionByRange(parts, "doc_id", "uid").sortWithinPartitions("doc_id", "uid")
-    local = stored(dealt.mapInArrow(run, f"uid long, doc_id {kind}, local long, n_tokens long, part int"), "starts")
+    dealt = lengths.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER)
+    local = stored(dealt.mapInArrow(run, f"uid long, doc_id {kind}, root binary, local long, n_tokens long, part int"), "starts")
     totals = sorted(local.groupBy("part").agg(F.sum("n_tokens")).collect())
     before, so_far = [], 0
     for part, n in totals:
         before.append((part, so_far))
         so_far += n
     table = local.sparkSession.createDataFrame(before or [(0, 0)], "part int, before long")
-    return local.join(F.broadcast(table), "part").select("uid", "doc_id", (F.col("local") + F.col("before")).alias("start"))
+    return local.join(F.broadcast(table), "part").select("uid", "doc_id", "root", (F.col("local") + F.col("before")).alias("start"))
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, width: int = 2) -> None:
-    """Write the store of all documents at ``path``. width: bytes an id (2 holds 65,536 ids)."""
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
+    """Write the store of all documents at ``path``."""
     spark = docs.sparkSession
+    width = 2 if max(end_id, largest_id(vocabulary)) < 1 << 16 else 4
     parts = shuffle_width(spark)
     stage = new_folder(spark, "stage")
     _staged(docs, vocabulary, end_id, width).write.option("compression", "zstd").parquet(stage)
@@ -158,12 +165,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, wid
     places = stored(copies.where("uid = owner").groupBy("address").agg(F.min("seq").alias("at")), "places")
     other = copies.join(places, "address").where("not (uid = owner and seq = at)")
     owners = other.groupBy("uid").agg(F.collect_list(F.struct("seq", "owner", "at")).alias("elsewhere"))
-    starts = _starts(staged.select("uid", "doc_id", "n_tokens"), parts)
-    head = starts.join(owners, "uid", "left").select("doc_id", "uid", F.lit(0).alias("kind"), "start", "elsewhere")
+    starts = _starts(staged.select("uid", "doc_id", "root", "n_tokens"), parts)
+    head = starts.join(owners, "uid", "left").select("doc_id", "uid", "root", F.lit(0).alias("kind"), "start", "elsewhere")
     rows = head.unionByName(staged.drop("addresses").withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    rows = rows.repartitionByRange(parts, "doc_id", "uid").sortWithinPartitions("doc_id", "uid", "kind")
+    rows = rows.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER, "kind")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, uid long, start long, n_tokens long, sizes array<int>, elsewhere array<struct<seq:int,owner:bigint,at:int>>, root binary, own binary"
+    schema = f"doc_id {kind}, uid long, start long, n_tokens long, sizes array<int>, elsewhere array<struct<seq:int,owner:bigint,at:int>>, root binary, own binary, width int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -183,8 +190,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, wid
                     r = {"sizes": second.column("sizes")[i].as_py(), "elsewhere": elsewhere[i].as_py()}
                     kept[i] = b"".join(_not_elsewhere(r, kept[i], width))
                 own = pa.array(kept, pa.binary())
-            columns = [first.column("doc_id"), first.column("uid"), first.column("start"), second.column("n_tokens"), second.column("sizes"), elsewhere, second.column("root"), own]
-            yield from pa.Table.from_arrays(columns, ["doc_id", "uid", "start", "n_tokens", "sizes", "elsewhere", "root", "own"]).combine_chunks().to_batches()
+            columns = [first.column("doc_id"), first.column("uid"), first.column("start"), second.column("n_tokens"), second.column("sizes"), elsewhere, second.column("root"), own, pa.array(np.full(n, width, np.int32))]
+            yield from pa.Table.from_arrays(columns, ["doc_id", "uid", "start", "n_tokens", "sizes", "elsewhere", "root", "own", "width"]).combine_chunks().to_batches()
 
     rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     dropped(spark, stage)
@@ -210,12 +217,13 @@ def _pieces(r: dict, width: int) -> dict[int, bytes]:
     return out
 
 
-def read(spark: SparkSession, path: str, width: int = 2, digest: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every document, verified against its root.
 
     digest: the crc32 of those ids (ids_crc32) in place of the ids, which then never leave the worker.
     """
     packs = spark.read.parquet(path)
+    width = (packs.select("width").first() or [2])[0]
     last = "ids_crc32" if digest else "ids"
     names = ["doc_id", "uid", "start", "n_tokens", "sizes", "elsewhere", "root", "own"]
     kind = packs.schema["doc_id"].dataType.simpleString()

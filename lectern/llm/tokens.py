@@ -16,11 +16,14 @@ import re
 import numpy as np
 
 #: Words of one generation. A full generation becomes the old one, from which words that are met again move on.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼½¾"
 #: Characters that normalisation leaves alone and whose classes don't depend on a Unicode version; U+0130 grows in lower case.
 _SAFE = re.compile("[\t\n\r -~\xa1-įı-ɏ‐-‧‰-⁞]*")
+#: Safe characters whose lower case is in no class of the pattern but that for punctuation, though the library knows them as letters.
+_LEAVES = "".join(c for c in map(chr, range(0x80, 0x250)) if _SAFE.fullmatch(c) and not _SAFE.fullmatch(c.lower()))
+_SAFE_LOWERED = re.compile(f"[^{_LEAVES}]*")
 #: The split patterns of the two vocabularies, with the classes written out for those characters.
 _BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 _WORD_ENDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
@@ -91,14 +94,13 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
-        if self.pattern is None or not _SAFE.fullmatch(text) or any(s in text for s in self.special):
+        if self.pattern is None or not _SAFE.fullmatch(text) or (self.lower and not _SAFE_LOWERED.fullmatch(text)) or any(s in text for s in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         # Where the pattern drops blanks, pieces between blanks are looked up whole.
         found = text.lower().split() if self.lower else self.pattern.findall(text)
         if missing := set(found).difference(self.known):
             self._meet(missing, found)
-        known = self.known
-        return b"".join([known[w] for w in found])
+        return b"".join(map(self.known.__getitem__, found))
 
     def _meet(self, missing: set[str], found: list[str]) -> None:
         """Put the missing of the found into the table."""
@@ -115,7 +117,7 @@ class Encoder:
         if not self.lower:
             self._learn(new)
             return
-        compound = {w: p for w in new if not self.plain(w) and len(p := self.pattern.findall(w)) > 1}
+        compound = {w: p for w in new if not w.isalpha() and len(p := self.pattern.findall(w)) > 1}  # letters of safe texts are those of the pattern
         words = {w for w in new if w not in compound}
         words.update(x for p in compound.values() for x in p if x not in known)
         self._learn(list(words))
@@ -123,6 +125,13 @@ class Encoder:
             known[w] = b"".join([known[x] for x in p])
 
 
+def largest_id(path: str) -> int:
+    """The largest id of a vocabulary file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
