@@ -81,26 +81,28 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int, doc_id: str =
     lead = _mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, digests, signs = [], [], np.zeros((b.num_rows, 2 * functions), np.uint64)
-            for i, s in enumerate(_sets(b.column("h"), size)):
-                n.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                if len(s):
-                    least, most = np.full(functions, 2**64 - 1, np.uint64), np.zeros(functions, np.uint64)
-                    for at in range(0, len(s), 4096):
-                        x = factors[:, None] * s[at : at + 4096]
-                        np.minimum(least, x.min(1), out=least)
-                        np.maximum(most, x.max(1), out=most)
-                    signs[i, :functions], signs[i, functions:] = least, most
-            keys = np.repeat(lead[None, :], b.num_rows, 0)
-            parts = signs.reshape(b.num_rows, bands, rows)
-            for k in range(rows):
-                keys = _mixed(keys * _U(31) + parts[:, :, k])
-            sketch = (_mixed(signs) >> _U(56)).astype(np.uint8)
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), bands).cast(pa.list_(pa.int64()))
-            columns = [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), keys, pa.array([r.tobytes() for r in sketch], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "digest", "bands", "sketch"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                b = whole.slice(first, 1024)
+                n, digests, signs = [], [], np.zeros((b.num_rows, 2 * functions), np.uint64)
+                for i, s in enumerate(_sets(b.column("h"), size)):
+                    n.append(len(s))
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    if len(s):
+                        least, most = np.full(functions, 2**64 - 1, np.uint64), np.zeros(functions, np.uint64)
+                        for at in range(0, len(s), 4096):
+                            x = factors[:, None] * s[at : at + 4096]
+                            np.minimum(least, x.min(1), out=least)
+                            np.maximum(most, x.max(1), out=most)
+                        signs[i, :functions], signs[i, functions:] = least, most
+                keys = np.repeat(lead[None, :], b.num_rows, 0)
+                parts = signs.reshape(b.num_rows, bands, rows)
+                for k in range(rows):
+                    keys = _mixed(keys * _U(31) + parts[:, :, k])
+                sketch = (_mixed(signs) >> _U(56)).astype(np.uint8)
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), bands).cast(pa.list_(pa.int64()))
+                columns = [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), keys, pa.array([r.tobytes() for r in sketch], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "digest", "bands", "sketch"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return _hashed(docs, doc_id, text).mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, digest binary, bands array<bigint>, sketch binary")
@@ -203,36 +205,43 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
 
 
 def _tiled(members: DataFrame, nodes: DataFrame, sets: _Sets, percent: int, values: int, tables: Tables) -> DataFrame:
-    """Links (a, b) that join components within large buckets: members has key, id, n, size and label.
-
-    A bucket is dealt by hash into blocks of about TILE documents and at most
-    TILE_SHINGLES shingles, and each pair of blocks is one bounded task. A
-    first pass over sketches alone finds the documents of a tile that may be
-    like one of another component; their sets alone are sent to the second,
-    which skips what its own links have joined already.
+    """Links (a, b) that join components within large buckets: members has key, id, n, size, n_shingles and label.
+
+    The bucket's largest component needs no look at itself: only the others,
+    the minor members, meet all. Both are dealt by hash into blocks of about
+    TILE documents and at most TILE_SHINGLES shingles, and a block of minor
+    members with a block of all is one bounded task. A first pass over
+    sketches alone finds the documents of a tile that may be like one of
+    another component; their sets alone are sent to the second, which skips
+    what its own links have joined already.
     """
     floor = _floor(percent, values)
-    blocks = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("size") / TILE_SHINGLES)).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = members.select("key", "id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("key", "id", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    parts = members.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
+    main = parts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("m"), F.max(F.struct("c", "label", "s"))["s"].alias("main_s"))
+    rows = members.join(main, "key").withColumn("minor", F.col("label") != F.col("main"))
+    blocks = lambda n, s: F.greatest(F.lit(1), F.ceil(n / TILE), F.ceil(s / TILE_SHINGLES)).cast("int")
+    lefts, rights = blocks(F.col("m"), F.col("size") - F.col("main_s")), blocks(F.col("n"), F.col("size"))
+    i, j = F.pmod(F.xxhash64("id"), lefts).cast("int"), F.pmod(F.xxhash64("id"), rights).cast("int")
+    as_right = F.transform(F.sequence(F.lit(0), lefts - 1), lambda x: F.struct(F.lit(False).alias("left"), x.alias("i"), j.alias("j")))
+    as_left = F.transform(F.sequence(F.lit(0), rights - 1), lambda x: F.struct(F.lit(True).alias("left"), i.alias("i"), x.alias("j")))
+    rows = rows.select("key", "id", "label", "minor", F.explode(F.when(F.col("minor"), F.concat(as_left, as_right)).otherwise(as_right)).alias("t")).select("key", "id", "label", "minor", "t.*")
 
     def sides(tile: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-        """Each row of the first block with the rows it meets."""
-        own, i, j = tile["own"].to_numpy(), tile["i"].iloc[0], tile["j"].iloc[0]
-        theirs = np.flatnonzero(own == j)
-        for x in np.flatnonzero(own == i):
-            yield x, theirs[theirs > x] if i == j else theirs
+        """Each row on the left with the rows on the right of other components; two minor ones meet once."""
+        left, ids, label, minor = (tile[c].to_numpy() for c in ("left", "id", "label", "minor"))
+        right = np.flatnonzero(~left)
+        for x in np.flatnonzero(left):
+            yield x, right[(label[right] != label[x]) & (~minor[right] | (ids[right] > ids[x]))]
 
     def sketched(tile: pd.DataFrame) -> pd.DataFrame:
         marks = np.frombuffer(b"".join(tile["sketch"]), np.uint8).reshape(len(tile), values)
-        label, n, wanted = tile["label"].to_numpy(), tile["n_shingles"].to_numpy(), np.zeros(len(tile), bool)
+        n, wanted = tile["n_shingles"].to_numpy(), np.zeros(len(tile), bool)
         for x, others in sides(tile):
-            others = others[(label[others] != label[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))]
+            others = others[100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x])]
             others = others[(marks[others] == marks[x]).sum(1) >= floor]
             wanted[others] = True
             wanted[x] |= len(others) > 0
-        return tile.loc[wanted, ["key", "id", "label", "own", "i", "j"]]
+        return tile.loc[wanted, ["key", "id", "label", "minor", "left", "i", "j"]]
 
     def joined(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values("id", ignore_index=True)
@@ -249,7 +258,7 @@ def _tiled(members: DataFrame, nodes: DataFrame, sets: _Sets, percent: int, valu
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     marks = nodes.select("id", "sketch", "n_shingles")
-    wanted = rows.join(marks, "id").groupBy("key", "i", "j").applyInPandas(sketched, "key long, id long, label long, own int, i int, j int")
+    wanted = rows.join(marks, "id").groupBy("key", "i", "j").applyInPandas(sketched, "key long, id long, label long, minor boolean, left boolean, i int, j int")
     wanted = tables.store(wanted, "tiles")
     if wanted.isEmpty():
         return wanted.select(F.col("id").alias("a"), F.col("id").alias("b"))
@@ -271,7 +280,7 @@ def _labelled(docs: DataFrame, size: int, percent: int, bands: int, rows: int, d
         nodes = tables.store(sets_.withColumn("id", F.monotonically_increasing_id()), "nodes")
         rows_ = nodes.select("id", "n_shingles", F.explode("bands").alias("key"))
         buckets = tables.store(rows_.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1"), "buckets")
-        members = tables.store(rows_.select("id", "key").join(buckets.where("n > 2"), "key"), "members")
+        members = tables.store(rows_.join(buckets.where("n > 2"), "key"), "members")
         blocks = F.ceil(F.col("n") / HUB_BLOCK).cast("int")
         star = members.where("id <> a").select(F.col("a").alias("hub"), F.col("id").alias("member"), blocks.alias("blocks"))
         star = star.union(members.where("id <> a and id <> b").select(F.col("b").alias("hub"), F.col("id").alias("member"), blocks.alias("blocks")))
@@ -282,7 +291,7 @@ def _labelled(docs: DataFrame, size: int, percent: int, bands: int, rows: int, d
         labels = components(links, tables)
 
         # What the stars left open: buckets whose members are in several components.
-        named = members.select("key", "id", "n", "size").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        named = members.select("key", "id", "n", "size", "n_shingles").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         named = tables.store(named, "members")
         marks = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.expr("bit_xor(xxhash64(id))").alias("same")).where("x <> y")
         # Buckets of several bands with the same members are worked off once.
