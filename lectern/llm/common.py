@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,19 +30,21 @@ def ascii_lower(text: Column) -> Column:
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
-    """True for the documents that no model learns from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
+    """True for the documents that no model learns from; false for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (local
-    runs) a folder of our own is made, once for each application.
+    It is what ``spark.checkpoint.dir`` names. Where that is unset, a local run
+    makes a folder of its own, once for each application; a cluster's run fails.
     """
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="lectern-")

@@ -6,9 +6,10 @@ capitals, symbols, repeated words, repeated lines and so on). The pairwise
 part is ``0.5 * sum_f((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)``, so a text is
 scored in time linear in its features.
 
-Learning takes at most ``train_rows`` labelled rows (a documented bound: the
-fit runs on the driver and costs the same at every size); scoring covers all
-rows and all of each text, in Arrow batches on the executors.
+Learning takes at most ``train_rows`` labelled rows and ``train_words`` of their
+words (documented bounds: the fit runs on the driver and costs the same at
+every size); scoring covers all rows and all of each text, however long, in
+Arrow batches on the executors.
 
 Defined results: null and empty texts are scored by their structure alone;
 repeated rows get equal scores; an empty table gives an empty result; labels
@@ -24,12 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import held_out, words
+from lectern.llm.common import Tables, held_out, words
 
 TRAIN_ROWS = 6000
+#: Word features of the rows to learn from (four bytes each) that reach the driver; rows beyond go, the last by hashed id first.
+TRAIN_WORDS = 8_000_000
 BUCKETS, RANK, EPOCHS, THRESHOLD = 1 << 14, 4, 12, 0.3
 #: Bins of one structure statistic.
 _BINS = 12
@@ -110,6 +113,11 @@ class Machine:
     def score(self, rows: int, *x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margin(rows, *x), -30, 30)))
 
+    def scores(self, ids: pa.Array, stats: pa.Array, at_once: int = 512) -> np.ndarray:
+        """The scores of a batch, a few rows at a time."""
+        parts = [self.score(min(at_once, len(ids) - k), *_sparse(ids.slice(k, at_once), stats.slice(k, at_once))) for k in range(0, len(ids), at_once)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
 
 def fit(sample: pa.Table, epochs: int = EPOCHS, rank: int = RANK, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
     """Learn from columns ids, stats and label by Adam on mini-batches of logistic loss."""
@@ -152,17 +160,22 @@ def fit(sample: pa.Table, epochs: int = EPOCHS, rank: int = RANK, rate: float =
     return Machine(float(bias[0]), linear, factors)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> Machine:
-    """Fit on at most ``train_rows`` labelled documents, none of them held out.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, train_words: int = TRAIN_WORDS) -> Machine:
+    """Fit on at most ``train_rows`` labelled documents with ``train_words`` words in all, none of them held out.
 
     Which rows: those whose hashed id is smallest, so that the choice is the
     same however the tables are dealt. A document with several labels counts
     once, with the largest.
     """
-    known = labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("label"))
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("label"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(picked), "_id")
-    return fit(features(rows, "_id", "_text", "label").select("ids", "stats", "label").toArrow())
+    with Tables(docs.sparkSession) as tables:
+        found = tables.store(features(rows, "_id", "_text", "label").withColumn("_n", F.size("ids")), "labelled")
+        # Few rows, of which the sizes come first, so that what the driver gathers has a bound in bytes as well.
+        so_far = F.sum("_n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+        some = found.groupBy("doc_id").agg(F.sum("_n").alias("_n")).withColumn("_sum", so_far).where(F.col("_sum") <= train_words)
+        return fit(found.join(F.broadcast(some.select("doc_id")), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("ids", "stats", "label").toArrow())
 
 
 def scored(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,8 +183,7 @@ def scored(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _sparse(b.column("ids"), b.column("stats"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(machine.score(b.num_rows, *x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(machine.scores(b.column("ids"), b.column("stats")))], ["doc_id", "score"])
 
     found = features(docs, doc_id, text)
     kind = found.schema["doc_id"].dataType.simpleString()
@@ -195,9 +207,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _sparse(b.column("ids"), b.column("stats"))
-            good = pa.array(machine.score(b.num_rows, *x) >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(good)], ["row"])
+            good = machine.scores(b.column("ids"), b.column("stats")) >= threshold
+            for at in range(0, b.num_rows, 1024):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, 1024).filter(pa.array(good[at : at + 1024]))], ["row"])
 
     rows = features(kept.select("row", F.col("row.text").alias("text")), "row", "text")
     return rows.mapInArrow(run, f"row {schema.simpleString()}").select("row.*")
