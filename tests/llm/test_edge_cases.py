@@ -1,7 +1,10 @@
 """Every operator on null, empty, long, repeated and tied rows, on empty tables and on clashing column names, against plain Python."""
 
 import hashlib
+import itertools
 import random
+import time
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -64,6 +67,36 @@ def test_rule_order_does_not_change_the_verdict(docs):
     assert kept(quality_rules.default_rules()) == kept(quality_rules.default_rules()[::-1])
 
 
+def test_costly_rules_go_last_at_equal_selectivity(spark, docs):
+    m = quality_rules.definitions()
+    dear = quality_rules.Rule("dear", lambda m: sum((m["n_repeat_words"] for _ in range(6)), F.lit(0)) % 2 == 0)
+    cheap = quality_rules.Rule("cheap", lambda m: m["n_words"] % 2 == 0)
+    sample = quality_rules._split(spark.createDataFrame([(i, " ".join(f"w{i * k % 97}" for k in range(400))) for i in range(300)], "doc_id long, text string"), "text")
+    found = quality_rules.rated(sample, [dear, cheap])
+    assert found[0][1] == found[1][1] == 1.0 and found[0][2] > 3 * found[1][2]
+    assert [r.name for r in quality_rules.ordered(found)] == ["cheap", "dear"] and set(m) >= {"n_words", "n_repeat_words"}
+    a, b, c = (quality_rules.Rule(x, lambda m: m["n_words"] < 0) for x in "abc")
+    assert [r.name for r in quality_rules.ordered([(a, 0.0, 2.0), (b, 0.0, 1.0), (c, 0.1, 9.0)])] == ["c", "b", "a"]
+
+
+def test_verdict_against_plain_python(docs):
+    import regex
+
+    def kept(t):
+        w, lines = split_words(t), [x for x in (t or "").split("\n") if split_words(x)]
+        tri = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {k + d for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        lettered = sum(bool(regex.search(r"\p{L}", x)) for x in w)
+        bad = [len(w) < 50, 100 * len(covered) > 50 * len(w), 10 * sum(c in "#*$%&|<>" for c in t or "") > len(w), not 2 * len(w) <= sum(map(len, w)) <= 15 * len(w), 10 * (len(lines) - len(set(lines))) > 5 * len(lines)]
+        bad += [10 * lettered < 7 * len(w), len(regex.findall(r"\p{Lu}", t or "")) > len(regex.findall(r"\p{Ll}", t or "")), 10 * sum(x.endswith(("...", "…")) for x in w) > 3 * len(w)]
+        return not any(bad)
+
+    more = [("x " * 30 + "12 -- ") * 3, " ".join(f"{i} a1 é" for i in range(40)), " ".join(f"UP{i} Lo" for i in range(60)), " ".join(f"w{i}..." if i % 2 else f"v{i}…" for i in range(80)), "7" * 20_000 + " ok" * 60]
+    df = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    want = {r.doc_id for r in df.collect() if kept(r.text)}
+    assert {r.doc_id for r in quality_rules.clean(df).collect()} == want == {r.doc_id for r in quality_rules.report(df).where("kept").collect()} and want
+
+
 def test_classifier(spark, docs):
     n = docs.count()
     labels = docs.select("doc_id", (F.length(F.coalesce("text", F.lit(""))) % 2).alias("quality"))
@@ -79,6 +112,31 @@ def test_classifier(spark, docs):
     assert quality_classifier.keep_good(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_classifier_features_against_plain_python(docs):
+    """The structure statistics and word counts of each text, and that the way in which rows are scored is no matter."""
+    got = {r.doc_id: r for r in quality_classifier.features(docs, "doc_id", "text").collect()}
+    for i, t, *_ in rows():
+        w, t = split_words(t), t or ""
+        lines = [x for x in t.split("\n") if x.strip(" ")]
+        pairs = list(zip(w, w[1:], strict=False))
+        n, chars = max(len(w), 1), max(len(t), 1)
+        of = lambda f: sum(map(f, t))
+        want = [
+            np.log2(len(w) + 1) / 16, np.log2(len(lines) + 1) / 12, sum(map(len, w)) / (20 * n), of("#*$%&|<>".__contains__) / (2 * n),
+            of(lambda c: unicodedata.category(c) == "Lu") / chars, 4 * of("0123456789".__contains__) / chars, of(lambda c: unicodedata.category(c)[0] == "L") / chars,
+            (n - len(set(w))) / n, (max(len(lines), 1) - len(set(lines))) / max(len(lines), 1), (len(pairs) - len(set(pairs))) / n, of("!?".__contains__) / n, of(".,;:".__contains__) / n,
+        ]
+        assert got[i].stats == pytest.approx(want), i
+        kinds = Counter(got[i].ids)
+        assert sum(kinds.values()) == len(w) and len(kinds) <= len({x.lower() for x in w})
+    labels = docs.select("doc_id", (F.length(F.coalesce("text", F.lit(""))) % 2).alias("quality"))
+    machine = quality_classifier.train(docs, labels)
+    scores = {r.doc_id: r.score for r in quality_classifier.scored(docs, machine).collect()}
+    assert {r.doc_id for r in quality_classifier.keep_good(docs, labels).collect()} == {i for i, s in scores.items() if s >= quality_classifier.THRESHOLD}
+    few = quality_classifier.train(docs, labels, train_words=0)
+    assert few.bias == 0 and not few.factors.any()
+
+
 def test_classifier_pairs_by_the_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     m = quality_classifier.Machine(0.3, rng.normal(size=quality_classifier._WIDTH), rng.normal(size=(quality_classifier._WIDTH, 3)))
@@ -101,6 +159,7 @@ def test_media_round_trip(docs):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         stored = media.wave(payload)
+        assert r.feature == f"type=audio/wav;declared=application/octet-stream;samples={len(payload)};carved=0"
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and media.wave_samples(stored) == payload
 
 
@@ -143,6 +202,56 @@ def test_carving_reaches_the_end_of_nested_media():
         assert (first.kind, first.start, first.length) == (kind, 2, len(data))
 
 
+def test_hostile_payloads_take_bounded_time_and_memory():
+    import gzip
+    import tracemalloc
+
+    began = time.perf_counter()
+    for payload in (b"%PDF-1" * 80_000, b"%PDF-1\nstartxref\n9\n%%EOF" * 20_000, b"\x1f\x8b\x08" * 100_000, b"GIF89a" * 50_000, b"PK\x03\x04" * 50_000, b"PK\x03\x04PK\x05\x06" * 20_000, b"\xff\xd8\xff" * 50_000, b"OggS\x00" * 50_000):
+        media.described(payload, "text/plain")
+    assert time.perf_counter() - began < 60
+    bomb = gzip.compress(b"\0" * (60 << 20), 9)
+    tracemalloc.start()
+    kind, _ = media.described(bomb, "text/plain")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kind == "application/gzip" and peak < 32 << 20
+
+
+def test_embedded_media_of_a_table_are_carved_with_their_places(spark):
+    """Media of all carved formats between texts, with right, wrong and missing declared types, against where they were put."""
+    rng = random.Random(31)
+    png = b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big") for k, d in ((b"IHDR", b"\0" * 13), (b"IDAT", b"x" * 40), (b"IEND", b"")))
+    gif = b"GIF89a\x01\x00\x01\x00\x80\x00\x00" + b"\x00" * 6 + b"\x2c" + b"\x00" * 4 + b"\x01\x00\x01\x00\x00" + b"\x02\x02\x4c\x01\x00\x3b"
+    jpeg = b"\xff\xd8\xff\xdb\x00\x04ab\xff\xda\x00\x02xy\xff\xd9"
+    midi = b"MThd\x00\x00\x00\x06\x00\x00\x00\x01\x00\x60MTrk\x00\x00\x00\x04\x00\xff\x2f\x00"
+    wav, kinds = media.wave(b"\x80" * 64), {}
+    for kind, data in (("image/png", png), ("image/gif", gif), ("image/jpeg", jpeg), ("audio/midi", midi), ("audio/wav", wav)):
+        kinds[kind] = data
+    rows_, want = [], {}
+    for i in range(300):
+        raw, places = b"", []
+        for _ in range(rng.randrange(4)):
+            raw += bytes(rng.choice(b"abc \n") for _ in range(rng.randrange(50)))
+            kind = rng.choice(sorted(kinds))
+            places.append((kind, len(raw), len(kinds[kind])))
+            raw += kinds[kind]
+        declared = rng.choice([media.UNKNOWN, "text/plain", *kinds])
+        whole = next((k for k, at, _ in places if at == 0), None)
+        signed = declared in kinds
+        want[i] = (whole or (media.UNKNOWN if signed else declared), [p for p in places if p[1]])
+        rows_.append((i, raw, declared))
+    for i, raw, declared in rows_:
+        kind, inside = media.described(raw, declared)
+        assert (kind, [tuple(f) for f in inside]) == want[i], (i, declared)
+    df = spark.createDataFrame([(i, len(r), d, media.wave(r)) for i, r, d in rows_], "doc_id long, n_bytes long, declared string, media binary")
+    for r in media.inspected(df).collect():
+        raw, declared = rows_[r.doc_id][1], rows_[r.doc_id][2]
+        inside = [(k, at + 44, n) for k, at, n in ([(want[r.doc_id][0], 0, len(kinds[want[r.doc_id][0]]))] if want[r.doc_id][0] in kinds and raw.startswith(kinds[want[r.doc_id][0]]) else []) + want[r.doc_id][1]]
+        carved = ",".join(f"{k}@{at}+{n}" for k, at, n in inside)
+        assert r.feature == f"type=audio/wav;declared={declared};samples={len(raw)};carved={len(inside)}" + (f"[{carved}]" if inside else "")
+
+
 def brute_components(texts, size, percent):
     def shingles(t):
         w = split_words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
@@ -276,8 +385,14 @@ def test_both_words_after_a_form_of_address_are_names(spark):
 
 
 def test_permutations_keep_entities_apart_and_collisions_are_redrawn(spark):
-    assert len({pii.surrogate("k", "phone", f"{i:04d}") for i in range(10000)}) == 10000
+    phones = [f"{i:04d}" for i in range(10000)]
+    new = [pii.surrogate("k", "phone", p) for p in phones]
+    assert sorted(new) == phones and not any(p == q for p, q in zip(phones, new, strict=True))
     assert sorted(pii._permuted("k", "t", [a, b], [7, 5]) for a in range(7) for b in range(5)) == [[a, b] for a in range(7) for b in range(5)]
+    for sizes in ([2], [10], [1, 3], [26, 10, 2]):
+        every = [list(x) for x in itertools.product(*map(range, sizes))]
+        out = [pii._permuted("k", "t", x, sizes) for x in every]
+        assert sorted(out) == every and all(x != y for x, y in zip(every, out, strict=True))
     assert sorted(pii.surrogate("k", "given_f", n) for n in pii.FEMALE) == sorted(pii.FEMALE)
     rows_ = [("ssn", f"{i:09d}", f"{i // 2:09d}") for i in range(60)]  # pairs share a stand-in, and two are their own
     found = spark.createDataFrame(rows_, "kind string, canonical string, stand_in string")
@@ -286,6 +401,39 @@ def test_permutations_keep_entities_apart_and_collisions_are_redrawn(spark):
     assert len(again) == 30 and len(set(final.values())) == 60 and all(c != s for c, s in final.items())
 
 
+def test_addresses_are_permuted_within_their_class():
+    home = [f"192.168.{a}.{b}" for a in range(256) for b in range(256)]
+    new = [pii.surrogate("k", "ip", x) for x in home]
+    assert sorted(new) == sorted(home) and not any(x == y for x, y in zip(home, new, strict=True))
+    rng = random.Random(12)
+    for first in ("10.", "172.20.", "127.", "8.", "193.", "172.40.", "230.", "0.", "255."):
+        some = list({first + ".".join(str(rng.randrange(256)) for _ in range(4 - first.count("."))) for _ in range(300)})
+        new = [pii.surrogate("k", "ip", x) for x in some]
+        assert len(set(new)) == len(some) and all(x != y and pii._class(x) == pii._class(y) for x, y in zip(some, new, strict=True))
+
+
+def test_many_entities_of_a_text_take_linear_time():
+    text = " ".join(f"a{i}@x{i % 7}.org 10.{i % 250}.{i % 199}.{i % 83}" for i in range(20_000))
+    began = time.perf_counter()
+    found = pii.detect(text)
+    assert len(found) == 40_000 and time.perf_counter() - began < 20
+    assert all(x.end <= y.start for x, y in zip(found, found[1:], strict=False))
+    assert pii.detect("Dr. " * 50_000) == []
+
+
+def test_mailboxes_of_a_domain_stay_together():
+    boxes = [pii.surrogate("k", "email", f"u{i}@mail.example.org", i % 3) for i in range(50)]
+    assert len({b.split("@")[1] for b in boxes}) == 1 and len(set(boxes)) == 50
+
+
+def test_names_of_other_scripts_keep_their_script(spark):
+    text = "Mr. Петров met Mrs. Παπαδοπούλου and Dr. Иван Смирнов."
+    out = pii.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    words = lambda t: [w.strip(".") for w in t.split() if not w.isascii()]
+    script = lambda w: {"LATIN": 0, "CYRILLIC": 1, "GREEK": 2}[unicodedata.name(w[0]).split()[0]]
+    assert list(map(script, words(out))) == [1, 2, 1, 1] and not set(words(out)) & set(words(text))
+
+
 def test_more_short_surnames_than_short_stand_ins_stay_apart(spark, monkeypatch):
     letters = "abcdefghijklmnopqrstuvwxyz"
     names = [f"X{letters[i // 676 % 26]}{letters[i // 26 % 26]}{letters[i % 26]}{letters[i // 17576]}" for i in range(30_000)]
@@ -325,6 +473,19 @@ def test_word_encoder_is_the_library(name):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_safe_character_is_encoded_as_the_library_does(name):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary_path(name)
+    lib, own = Tokenizer.from_file(path), tokens.Encoder(path)
+    safe = [c for c in map(chr, range(0x2100)) if tokens._SAFE.fullmatch(c)]
+    assert len(safe) > 590
+    texts = [t for c in safe for t in (c, f"ab{c}cd", f"x {c} y", f"{c}kra and {c}dan", f"1{c}{c}2", f"{c}'s")] + ["".join(safe), " ".join(safe)]
+    want = lib.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, e in zip(texts, want, strict=True) if np.frombuffer(own.encode(t), "<u4").tolist() != e.ids] == []
+
+
 def test_backtracking_bpe_is_the_library(docs):
     from tokenizers import Tokenizer
 
@@ -335,7 +496,7 @@ def test_backtracking_bpe_is_the_library(docs):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         text = lib.decode(ids, skip_special_tokens=False)
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-    tool, rng = bpe.codec(path), random.Random(2)
+    tool, rng = bpe.Codec(path, cache_words=40), random.Random(2)  # full generations all the time
     for _ in range(300):
         t = "".join(rng.choice("aeinorst'  \n.,é日😀0") for _ in range(rng.randint(1, 80)))
         assert np.frombuffer(tool.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
@@ -360,6 +521,25 @@ def test_token_store_round_trip(spark, docs):
     assert token_store.round_trip(df.limit(0), path).count() == 0
 
 
+def test_token_store_orders_repeated_ids_by_their_ids_and_refuses_what_does_not_fit(spark, tmp_path, monkeypatch):
+    path = tokens.vocabulary_path("word_bpe_49k.json")
+    rows_ = [(1, f"text number {i % 7} of one id " * (i + 1)) for i in range(30)] + [(None, "no id"), (2, None)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    one, other = (sorted(map(repr, token_store.round_trip(x, path).collect())) for x in (df.repartition(5), df.orderBy(F.desc("text")).coalesce(1)))
+    assert one == other and len(one) == 32
+    first = token_store.round_trip(df.where("doc_id is null"), path).first()
+    assert (first.doc_id, first.start) == (None, 0)
+    real = token_store.largest_id
+    monkeypatch.setattr(token_store, "largest_id", lambda _: 1 << 16)
+    token_store.write(df, str(tmp_path / "wide"), path)
+    monkeypatch.setattr(token_store, "largest_id", real)
+    got = token_store.read(spark, str(tmp_path / "wide"), digest=True)
+    assert spark.read.parquet(str(tmp_path / "wide")).first().width == 4
+    assert sorted(repr((r.doc_id, r.n_tokens, r.ids_crc32)) for r in got.collect()) == sorted(repr((r.doc_id, r.n_tokens, r.ids_crc32)) for r in token_store.round_trip(df, path).collect())
+    with pytest.raises(Exception, match="doesn't fit"):
+        token_store._staged(df, path, 70_000, 2).collect()
+
+
 def test_token_store_stores_shared_chunks_once_and_notices_damage(spark, tmp_path):
     path = tokens.vocabulary_path("word_bpe_49k.json")
     rng = random.Random(4)
