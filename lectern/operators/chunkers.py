@@ -289,12 +289,13 @@ def lumber(text: str, pick: Callable[[str, int, int], str] | None = None, group_
     ask = pick or (lambda block, first, last: f"Answer: ID {last}")
     s = tight_sentences(text)
     n, at, bounds = len(s), 0, []
-    words = [round(1.2 * len(text[a:b].split()) + 2.4) for a, b in s]
+    words = [len(text[a:b].split()) + 2 for a, b in s]  # and the two of its id
     for _turn in range(n):
         if at >= n - 5:
             break
         size, total = 0, 0
-        while total < group_size_threshold and at + size < n - 1:
+        # Fixed value: tokens a word. The whole block is rounded, not each sentence.
+        while round(1.2 * total) < group_size_threshold and at + size < n - 1:
             total += words[at + size]
             size += 1
         last = at + max(size - 1, 1) - 1

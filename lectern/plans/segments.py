@@ -1,7 +1,8 @@
 """Queries over chunkers and split-point analysis.
 
 Pages give markup: a tag's span runs from its opening to its closing mark in
-the html, by the expression's own match of the innermost pair.
+the html, by the expression's own match of the innermost pair, at the place of
+that match.
 """
 
 from __future__ import annotations
@@ -102,9 +103,10 @@ def sp01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAGES = _CHUNKS.replace("doc_id AS book", "page_id AS book").replace("doc_id, text", "page_id, html AS text").replace("least(i * 700 + 690, length(text))", "least(i * 700 + 690, length(text))").replace("length(text) / 700.0", "length(html) / 700.0").replace("FROM documents", "FROM pages")
-_TAGS = r"""parts AS (SELECT page_id AS book, regexp_extract_all(html, '(?s)<(h[1-6]|p|pre)>[^<]*</(h[1-6]|p|pre)>') AS m, html FROM pages),
-one AS (SELECT book, html, unnest(m) AS t, generate_subscripts(m, 1) AS i FROM parts),
-tags AS (SELECT book, i - 1 AS tag_id, regexp_extract(t, '^<([a-z0-9]+)>', 1) AS tag_name, instr(html, t) - 1 AS tag_start, instr(html, t) - 1 + length(t) - 1 AS tag_end FROM one)"""
+_ELEMENT = "<(h[1-6]|p|pre)>[^<]*</(h[1-6]|p|pre)>"
+_TAGS = rf"""parts AS (SELECT page_id AS book, regexp_extract_all(html, '{_ELEMENT}') AS m, list_transform(string_split_regex(html, '{_ELEMENT}'), lambda x: length(x)) AS between FROM pages),
+one AS (SELECT book, unnest(m) AS t, generate_subscripts(m, 1) AS i, list_transform(m, lambda x: length(x)) AS own, between FROM parts),
+tags AS (SELECT book, i - 1 AS tag_id, regexp_extract(t, '^<([a-z0-9]+)>', 1) AS tag_name, list_sum(between[1:i]) + coalesce(list_sum(own[1:i - 1]), 0) AS tag_start, list_sum(between[1:i]) + list_sum(own[1:i]) - 1 AS tag_end FROM one)"""
 
 
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +114,13 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements without inner markup; a repeated element stands at its first place."""
-    m = F.regexp_extract_all("html", F.lit(r"(?s)<(h[1-6]|p|pre)>[^<]*</(h[1-6]|p|pre)>"), F.lit(0))
-    one = table(spark, sf_dir, "pages").select(F.col("page_id").alias("book"), "html", F.posexplode(m).alias("tag_id", "t"))
-    start = F.instr(F.col("html"), F.col("t")) - 1
-    return one.select("book", "tag_id", F.regexp_extract("t", "^<([a-z0-9]+)>", 1).alias("tag_name"), start.alias("tag_start"), (start + F.length("t") - 1).alias("tag_end"))
+    """Elements without inner markup, each at its own place: the lengths of all that comes before it, added up."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
+    m, between = F.regexp_extract_all("html", F.lit(_ELEMENT), F.lit(0)), F.split("html", _ELEMENT)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("book"), F.arrays_zip(m.alias("t"), between.alias("before")).alias("e"))
+    one = pages.select("book", F.posexplode("e").alias("tag_id", "e"), "e").toDF("book", "tag_id", "one", "all").where("one.t is not null")
+    start = total(F.slice("all.before", F.lit(1), F.col("tag_id") + 1)) + total(F.slice("all.t", F.lit(1), F.col("tag_id")))
+    return one.select("book", "tag_id", F.regexp_extract("one.t", "^<([a-z0-9]+)>", 1).alias("tag_name"), start.alias("tag_start"), (start + F.length("one.t") - 1).alias("tag_end"))
 
 
 _SPANS = f"{_PAGES}, {_TAGS}, o AS (SELECT t.*, c.chunk_id, c.start_index, c.end_index FROM tags t JOIN chunks c ON t.book = c.book AND NOT (tag_start > end_index OR tag_end < start_index)), spans AS (SELECT book, tag_id, tag_name, count(*) AS n_chunks, count(*) = 1 AND bool_and(tag_start >= start_index AND tag_end <= end_index) AS inside FROM o GROUP BY 1, 2, 3)"

@@ -17,6 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="lectern-stage-"))
 
 
