@@ -333,39 +333,69 @@ def mantel(rows: DataFrame, permutations: int = 199, seed: int = 42) -> DataFram
 
 @embedding_metrics.register("dbcv")
 def dbcv(rows: DataFrame, most: int = 5000) -> DataFrame:
-    """Density-based validity (EM-11): a spanning tree of mutual reachability for each label, then the gaps between labels.
+    """Density-based validity by cosine distance (EM-11).
+
+    For each label: core distances, a least spanning tree of mutual
+    reachability, its inner nodes (more than one edge) and its widest edge
+    between them. Between labels: the least mutual reachability of inner nodes.
+    A label without inner nodes takes all its nodes and edges; edges as wide as
+    each other, of which there are many, go by their distance; with one label alone there is no value.
 
     A tree needs a label's rows together, so a label of more than ``most`` fails the query rather than the task.
     """
     import numpy as np
     import pandas as pd
 
+    def apart(v, w):
+        return np.maximum(1 - v @ w.T, 0)
+
     def tree(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("id")
         v = np.stack(p["v"].to_numpy())
         n, dim = v.shape
         if n > most:
             raise ValueError(f"label {p['label'].iloc[0]} has {n} rows; this metric takes {most} at most")
-        d = np.sqrt(np.maximum((v**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * v @ v.T, 0))
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), EPS)
+        d = apart(v, v)
+        np.fill_diagonal(d, 0)
         # The mean of d to the power -dim, in logarithms, since that overflows for many dimensions.
-        far = np.where(d > 1e-9, -dim * np.log(np.maximum(d, 1e-9)), -np.inf)
+        far = np.where(d > 1e-12, -dim * np.log(np.maximum(d, 1e-12)), -np.inf)
         top = np.maximum(far.max(1, keepdims=True), -1e300)
         core = np.exp(-(np.log(np.maximum(np.exp(far - top).sum(1) / max(n - 1, 1), 1e-300)) + top[:, 0]) / dim)
+        core[~np.isfinite(far).any(1)] = 0
         m = np.maximum(d, np.maximum(core[:, None], core[None]))
-        left, best, widest = set(range(1, n)), m[0].copy(), 0.0
-        while left:
-            k = min(left, key=lambda i: best[i])
-            widest = max(widest, float(best[k]))
-            left.remove(k)
-            best = np.minimum(best, m[k])
-        return pd.DataFrame({"label": p["label"], "v": list(v), "core": core, "sparse": widest})
-
-    t = rows.groupBy("label").applyInPandas(tree, "label long, v array<double>, core double, sparse double")
-    cs = t.groupBy("label").agg(F.count("*").alias("n"), F.max("sparse").alias("sparse"), F.min("core").alias("core"))
-    c = centroids(rows.select("label", "v")).select("label", "c")
-    cs = cs.join(c, "label")
-    o = cs.select(F.col("label").alias("other"), F.col("c").alias("c2"), F.col("core").alias("core2"))
-    gap = cs.join(o, F.col("label") != F.col("other")).groupBy("label", "n", "sparse").agg(F.min(F.greatest(F.sqrt(sq(*_of("c", "c2"))), "core", "core2")).alias("gap"))
-    return gap.agg((F.sum(F.col("n") * (F.col("gap") - F.col("sparse")) / F.greatest("gap", "sparse")) / F.sum("n")).alias("dbcv"))
+        best, then, parent, left, edges = m[0].copy(), d[0].copy(), np.zeros(n, int), np.arange(n) > 0, []
+        for _ in range(n - 1):
+            wide = np.where(left, best, np.inf)
+            k = int(np.where(wide == wide.min(), then, np.inf).argmin())
+            edges.append((parent[k], k, best[k]))
+            left[k] = False
+            nearer = left & ((m[k] < best) | ((m[k] == best) & (d[k] < then)))
+            parent[nearer], best[nearer], then[nearer] = k, m[k][nearer], d[k][nearer]
+        degree = np.bincount([x for a, b, _ in edges for x in (a, b)], minlength=n)
+        inner = degree > 1 if (degree > 1).any() else np.ones(n, bool)
+        widths = [w for a, b, w in edges if inner[a] and inner[b]] or [w for _, _, w in edges] or [0.0]
+        return pd.DataFrame({"label": p["label"].iloc[0], "v": list(v[inner]), "core": core[inner], "n": n, "sparse": max(widths)})
+
+    def nearest(p: pd.DataFrame) -> pd.DataFrame:
+        one = p["label"].to_numpy() == p["a"].iloc[0]
+        v, core = np.stack(p["v"].to_numpy()), p["core"].to_numpy()
+        least = np.inf
+        theirs, their_core = v[~one], core[~one]
+        for k in np.flatnonzero(one):  # one row at a time: no matrix of two labels is held
+            least = min(least, float(np.maximum(np.maximum(apart(v[k : k + 1], theirs)[0], their_core), core[k]).min()))
+        return pd.DataFrame({"a": p["a"].iloc[:1], "b": p["b"].iloc[:1], "gap": [least]})
+
+    from lectern.sources.stage import stored
+
+    nodes = stored(rows.where(F.col("label").isNotNull()).groupBy("label").applyInPandas(tree, "label long, v array<double>, core double, n long, sparse double"), "trees")
+    labels = nodes.groupBy("label").agg(F.max("n").alias("n"), F.max("sparse").alias("sparse"))
+    names = F.array(*[F.lit(r[0]) for r in labels.select("label").orderBy("label").collect()]).cast("array<bigint>")  # labels, not rows
+    met = nodes.select("label", "v", "core", F.explode(names).alias("other")).where("label <> other").withColumns({"a": F.least("label", "other"), "b": F.greatest("label", "other")})
+    gaps = met.groupBy("a", "b").applyInPandas(nearest, "a long, b long, gap double")
+    gap = gaps.select(F.explode(F.array("a", "b")).alias("label"), "gap").groupBy("label").agg(F.min("gap").alias("gap"))
+    each = labels.join(gap, "label")
+    return each.agg((F.sum(F.col("n") * (F.col("gap") - F.col("sparse")) / F.greatest("gap", "sparse")) / F.sum("n")).alias("dbcv"))
 
 
 def pca(df: DataFrame, vector: str, k: int, name: str = "pca") -> DataFrame:

@@ -145,3 +145,35 @@ def test_mantel_takes_all_pairs_of_more_than_2000_rows(spark, monkeypatch, heavy
     got = clustering.mantel(rows, permutations=4).first()
     assert got.mantel_corr == pytest.approx(want, abs=1e-9) and got.mantel_p_value == 0.2
     assert clustering.mantel(rows.limit(2)).first().mantel_corr is None
+
+
+def test_dbcv_against_its_definition(spark):
+    import numpy as np
+
+    from lectern.operators import clustering
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(4, 5))
+    data = [(i, i % 4, (centres[i % 4] + 0.4 * rng.normal(size=5)).tolist()) for i in range(90)] + [(100, 7, [1.0, 0.0, 0.0, 0.0, 0.0]), (101, 7, [0.9, 0.1, 0.0, 0.0, 0.2])]
+    got = clustering.dbcv(spark.createDataFrame(data, "id long, label long, v array<double>")).first()[0]
+
+    distance = lambda x, y: 1 - np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y))
+    labels = sorted({g for _, g, _ in data})
+    points = {g: [np.array(v) for _, h, v in data if h == g] for g in labels}
+    core = {g: [np.mean([distance(x, y) ** -5.0 for j, y in enumerate(ps) if j != i]) ** (-1 / 5) for i, x in enumerate(ps)] for g, ps in points.items()}
+    inner, sparse = {}, {}
+    for g, ps in points.items():
+        n, root, degree, edges = len(ps), list(range(len(ps))), [0] * len(ps), []
+        for w, _, i, j in sorted((max(distance(ps[i], ps[j]), core[g][i], core[g][j]), distance(ps[i], ps[j]), i, j) for i in range(n) for j in range(i)):
+            if root[i] != root[j]:
+                root = [root[i] if r == root[j] else r for r in root]
+                edges.append((w, i, j))
+                degree[i] += 1
+                degree[j] += 1
+        inner[g] = [i for i in range(n) if degree[i] > 1] or list(range(n))
+        sparse[g] = max([w for w, i, j in edges if degree[i] > 1 and degree[j] > 1] or [w for w, _, _ in edges])
+    want = 0
+    for g in labels:
+        gap = min(max(distance(points[g][i], points[h][j]), core[g][i], core[h][j]) for h in labels if h != g for i in inner[g] for j in inner[h])
+        want += len(points[g]) / len(data) * (gap - sparse[g]) / max(gap, sparse[g])
+    assert abs(got - want) < 1e-6
