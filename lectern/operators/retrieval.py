@@ -16,6 +16,8 @@ from lectern.functions.vector import doubles, squared_l2
 
 #: Bytes of one block of query vectors that travels to every task.
 BLOCK_BYTES = 32 << 20
+#: Bytes of one matrix of distances, queries by rows, within a task.
+MATRIX_BYTES = 64 << 20
 #: Decimal places to which distances are compared, so that equal ones order by id.
 PLACES = 9
 
@@ -26,13 +28,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, vectors: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per task: the k nearest rows of each query, by one matrix product a batch."""
+    """Per task: the k nearest rows of each query, by matrix products of bounded size."""
     own = (vectors**2).sum(1)
+    step = max(1, MATRIX_BYTES // (8 * max(1, len(ids))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = np.full((len(ids), 0), np.inf)
         what = np.zeros((len(ids), 0), np.int64)
-        for b in batches:
+        for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             x, names = _matrix(b.column("vector")), b.column("chunk_id").to_numpy()
             if not len(x):
                 continue

@@ -177,3 +177,19 @@ def test_dbcv_against_its_definition(spark):
         gap = min(max(distance(points[g][i], points[h][j]), core[g][i], core[h][j]) for h in labels if h != g for i in inner[g] for j in inner[h])
         want += len(points[g]) / len(data) * (gap - sparse[g]) / max(gap, sparse[g])
     assert abs(got - want) < 1e-6
+
+
+def test_vector_search_is_the_same_in_small_matrices(spark, monkeypatch):
+    import numpy as np
+
+    from lectern.operators import retrieval
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(120, 4)).round(1)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, vector array<double>").repartition(3)
+    queries = rows.where("chunk_id % 3 = 0").withColumnRenamed("chunk_id", "qid")
+    monkeypatch.setattr(retrieval, "MATRIX_BYTES", 8 * 40 * 7)  # seven rows at once
+    got = {(r.qid, r["rank"]): r.chunk_id for r in retrieval.knn_global(queries, rows, 5).collect()}
+    for q in range(0, 120, 3):
+        near = sorted((round(float(((v[q] - v[i]) ** 2).sum()), 9), i) for i in range(120) if i != q)[:5]
+        assert [got[q, k] for k in range(1, 6)] == [i for _, i in near]
