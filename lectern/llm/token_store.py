@@ -39,6 +39,8 @@ from lectern.llm.tokens import encoder, largest_id
 END_ID = 1
 #: Ids under the rolling hash; mean, least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 1024
+#: Words of one generation of a worker's table (two generations: some 0.4 GB).
+CACHE_WORDS = 500_000
 #: The order of the rows of a store: equal roots mean equal ids, so only rows that don't differ are told apart by uid.
 ORDER = ("doc_id", "root", "uid")
 _U = np.uint64
@@ -96,11 +98,11 @@ def _staged(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path)
+        tool = encoder(path, CACHE_WORDS)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                streams = [tool.encode(t) + end for t in part.column("text").to_pylist()]
+                streams = [ids + end for ids in tool.encode_all(part.column("text").to_pylist())]
                 n = [len(x) // 4 for x in streams]
                 flat = np.frombuffer(b"".join(streams), "<u4")
                 if len(flat) and int(flat.max()) >> 8 * width:

@@ -17,6 +17,8 @@ import numpy as np
 
 #: Words of one generation. A full generation becomes the old one, from which words that are met again move on.
 CACHE_WORDS = 250_000
+#: Characters of the texts whose new words are encoded together.
+TOGETHER = 1 << 20
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼½¾"
 #: Characters that normalisation leaves alone and whose classes don't depend on a Unicode version; U+0130 grows in lower case.
@@ -93,20 +95,41 @@ class Encoder:
                 self.known[word] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        text = text or ""
-        if self.pattern is None or not _SAFE.fullmatch(text) or (self.lower and not _SAFE_LOWERED.fullmatch(text)) or any(s in text for s in self.special):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text. Words that are new to this worker are encoded together for about TOGETHER characters."""
+        out, at = [], 0
+        while at < len(texts):
+            part, size = [], 0
+            while at < len(texts) and (not part or size < TOGETHER):
+                part.append(texts[at] or "")
+                size += len(part[-1])
+                at += 1
+            out += self._encoded(part)
+        return out
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         # Where the pattern drops blanks, pieces between blanks are looked up whole.
-        found = text.lower().split() if self.lower else self.pattern.findall(text)
-        if missing := set(found).difference(self.known):
-            self._meet(missing, found)
-        return b"".join(map(self.known.__getitem__, found))
+        found = [self._split_here(t) for t in texts]
+        words = set().union(*(f for f in found if f is not None))
+        if missing := words.difference(self.known):
+            self._meet(missing, words)
+        look = self.known.__getitem__
+        whole = self.tokenizer.encode
+        return [np.asarray(whole(t, add_special_tokens=False).ids, "<u4").tobytes() if f is None else b"".join(map(look, f)) for t, f in zip(texts, found, strict=True)]
+
+    def _split_here(self, text: str) -> list[str] | None:
+        """The words of a text, or None for one that goes to the library whole."""
+        if self.pattern is None or not _SAFE.fullmatch(text) or (self.lower and not _SAFE_LOWERED.fullmatch(text)) or any(s in text for s in self.special):
+            return None
+        return text.lower().split() if self.lower else self.pattern.findall(text)
 
-    def _meet(self, missing: set[str], found: list[str]) -> None:
+    def _meet(self, missing: set[str], found: set[str]) -> None:
         """Put the missing of the found into the table."""
         if len(self.known) + len(missing) > self.cache_words:
             self.old, self.known = self.known, {}
-            missing = set(found)
+            missing = found
         known, old, new = self.known, self.old, []
         for w in missing:
             ids = old.get(w)
@@ -132,11 +155,12 @@ def largest_id(path: str) -> int:
     return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """This worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = (path, cache_words)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, cache_words)
+    return _encoders[key]

@@ -662,3 +662,16 @@ def test_one_hot_url_against_brute_force(spark):
     for r in warc.resolved(df).collect():
         before = [(t, i) for i, u, t, k, *_ in rows_ if k == "response" and u == r.url and t < r.time]
         assert r.source_id == (max(before)[1] if before else None)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_encoded_together_have_the_ids_of_each(name, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "TOGETHER", 40)
+    path = tokens.vocabulary_path(name)
+    lib = Tokenizer.from_file(path)
+    texts = ["One, two; THREE's words", None, "", "日本語 と one", "one <|endoftext|> two", "a" * 300, " \n", "One, two; four.", "Ɔkra and Ɛdan"] * 3
+    want = [np.asarray(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tokens.Encoder(path, cache_words=5).encode_all(texts) == want
+    assert tokens.Encoder(path).encode_all([]) == []
