@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +94,17 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def _bounded(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of a column each, or one row where it has more."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _staged(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
     """uid, doc_id, n_tokens, sizes (ids of each chunk), addresses, root and payload of every row."""
     end = np.array([end_id], "<u4").tobytes()
@@ -100,8 +112,7 @@ def _staged(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, CACHE_WORDS)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in _bounded(b, "text"):
                 streams = [ids + end for ids in tool.encode_all(part.column("text").to_pylist())]
                 n = [len(x) // 4 for x in streams]
                 flat = np.frombuffer(b"".join(streams), "<u4")

@@ -12,13 +12,16 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Collection
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words of one generation. A full generation becomes the old one, from which words that are met again move on.
 CACHE_WORDS = 250_000
 #: Characters of the texts whose new words are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 22
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼½¾"
 #: Characters that normalisation leaves alone and whose classes don't depend on a Unicode version; U+0130 grows in lower case.
@@ -110,22 +113,46 @@ class Encoder:
         return out
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        # Where the pattern drops blanks, pieces between blanks are looked up whole.
-        found = [self._split_here(t) for t in texts]
-        words = set().union(*(f for f in found if f is not None))
-        if missing := words.difference(self.known):
-            self._meet(missing, words)
-        look = self.known.__getitem__
+        here = [self._splits_here(t) for t in texts]
+        mine = [t for t, ok in zip(texts, here, strict=True) if ok]
+        done = iter(self._between_blanks([t.lower() for t in mine]) if self.lower else self._by_pattern(mine))
         whole = self.tokenizer.encode
-        return [np.asarray(whole(t, add_special_tokens=False).ids, "<u4").tobytes() if f is None else b"".join(map(look, f)) for t, f in zip(texts, found, strict=True)]
+        return [next(done) if ok else np.asarray(whole(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ok in zip(texts, here, strict=True)]
 
-    def _split_here(self, text: str) -> list[str] | None:
-        """The words of a text, or None for one that goes to the library whole."""
-        if self.pattern is None or not _SAFE.fullmatch(text) or (self.lower and not _SAFE_LOWERED.fullmatch(text)) or any(s in text for s in self.special):
-            return None
-        return text.lower().split() if self.lower else self.pattern.findall(text)
+    def _splits_here(self, text: str) -> bool:
+        """Whether a text's words are found here; else it goes to the library whole."""
+        if self.pattern is None or not _SAFE.fullmatch(text) or (self.lower and not _SAFE_LOWERED.fullmatch(text)):
+            return False
+        return not any(s in text for s in self.special)
 
-    def _meet(self, missing: set[str], found: set[str]) -> None:
+    def _by_pattern(self, texts: list[str]) -> list[bytes]:
+        found = [self.pattern.findall(t) for t in texts]
+        words = set().union(*found)
+        if missing := words.difference(self.known):
+            self._meet(missing, words)
+        look = self.known.__getitem__
+        return [b"".join(map(look, f)) for f in found]
+
+    def _between_blanks(self, texts: list[str]) -> list[bytes]:
+        """As the pattern drops blanks, whole pieces between them are looked up, each distinct one of these texts once."""
+        pieces = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))  # blanks of safe texts are ASCII
+        coded = pieces.flatten().dictionary_encode()
+        words, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self.known.setdefault("", b"")  # a blank at either end leaves an empty piece
+        found = list(map(self.known.get, words))
+        if missing := [w for w, ids in zip(words, found, strict=True) if ids is None]:
+            self._meet(missing, words)
+            found = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[places]
+        ends = np.cumsum(n)
+        ids = table[np.repeat(starts[places] - ends + n, n) + np.arange(n.sum())]
+        cuts = (4 * np.concatenate([[0], ends])[pieces.offsets.to_numpy()]).tolist()
+        raw = ids.tobytes()
+        return [raw[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+
+    def _meet(self, missing: Collection[str], found: Collection[str]) -> None:
         """Put the missing of the found into the table."""
         if len(self.known) + len(missing) > self.cache_words:
             self.old, self.known = self.known, {}
