@@ -8,17 +8,22 @@ from __future__ import annotations
 
 import io
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.sources.stage import exists
+from lectern.sources.stage import exists, folders
 
 CHUNK_SCHEMA = "source_file string, chunk_id long, start_index int, end_index int, tokens_len int, text string, split string, chunking_method string, chunking_params map<string,string>, chunking_time double"
 TASK = "struct<Question:string,Answers:string,Options:array<string>,Aspect:string,Complexity:string>"
 RESULT_KEYS = ("dataset", "preset", "chunking", "chunking_preset", "embed", "embed_preset", "search", "search_preset", "rerank", "rerank_preset", "split")
+JUDGE_KEYS = (*RESULT_KEYS[:-1], "generator", "generator_preset", "judge", "judge_preset", "split")
+#: Folders that are splits, as fixed values; the merged split takes a file from the first of MERGED that has it.
+SPLITS = ("train", "test", "validation", "example", "examples")
+MERGED = ("all", "train", "test", "validation")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -62,6 +67,51 @@ def tasks(spark: SparkSession, root: str, split: str) -> DataFrame:
     raise FileNotFoundError(f"no tasks of split {split!r} under {root}")
 
 
+def tasks_of(spark: SparkSession, data_dir: str, configs: list[tuple[str, str, str]]) -> DataFrame:
+    """Questions of several (dataset, preset, split), side by side with these keys; no configs give no rows (SRC-9)."""
+    out = spark.createDataFrame([], f"dataset string, preset string, split string, source_file string, question_id string, {TASK[7:-1]}".replace("Answers:string", "Answers:array<string>").replace(":", " "))
+    for dataset, preset, split in configs:
+        t = tasks(spark, f"{data_dir}/{dataset}/{preset}", split)
+        out = out.unionByName(t.select(F.lit(dataset).alias("dataset"), F.lit(preset).alias("preset"), F.lit(split).alias("split"), *t.columns))
+    return out
+
+
+def available_chunkers(spark: SparkSession, base: str) -> list[tuple[str, str]]:
+    """The (chunker, preset) folders that a tree holds (SRC-26)."""
+    return [(c, p) for c in folders(spark, base) for p in folders(spark, f"{base}/{c}")]
+
+
+def available_splits(spark: SparkSession, base: str, chunker: str, preset: str) -> set[str]:
+    """The splits with an analysis of split points by tags or by sentences (SRC-26)."""
+    where = f"{base}/{chunker}/{preset}/analyze_split_point"
+    return {s for kind in ("html_tag", "sentence") for s in folders(spark, f"{where}/{kind}")} & set(SPLITS)
+
+
+def merged_tree(spark: SparkSession, parent: str) -> DataFrame:
+    """relative_path, split and path of the files that the merged split of a folder holds, the first split's of each path (SNK-12).
+
+    A file that stands in ``all`` already stays. Paths alone are read, never contents; no splits give no rows.
+    """
+    here = [s for s in folders(spark, parent) if s in MERGED]
+    if not set(here) - {"all"}:
+        return spark.createDataFrame([], "relative_path string, split string, path string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{parent}/{s}" for s in here]).select("path")
+    under = rf"^.*?{re.escape(parent.rstrip('/'))}/([^/]+)/(.*)$"
+    rest = files.select("path", F.regexp_extract("path", under, 1).alias("split"), F.regexp_extract("path", under, 2).alias("relative_path"))
+    rank = F.array_position(F.array(*map(F.lit, MERGED)), F.col("split"))
+    return rest.groupBy("relative_path").agg(F.min(F.struct(rank.alias("rank"), "split", "path")).alias("m")).select("relative_path", "m.split", "m.path")
+
+
+def verdicts(spark: SparkSession, root: str) -> DataFrame:
+    """Keys, question_id and value (1 if judged correct) of every judged question of a result tree (SRC-16).
+
+    Files at another depth, files that don't parse and questions without a verdict are left out.
+    """
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="generation_results.json").select(F.col("_metadata.file_path").alias("path"), "value")
+    judged = keyed_by_path(files, root, JUDGE_KEYS).select(*JUDGE_KEYS, F.explode(F.from_json("value", "map<string,struct<verdict:string>>")).alias("question_id", "entry"))
+    return judged.where("entry.verdict is not null").select(*JUDGE_KEYS, "question_id", (F.col("entry.verdict") == "correct").cast("int").alias("value"))
+
+
 def metadata(spark: SparkSession, paths: list[str], value: str) -> DataFrame:
     """Book metadata of several data sets, side by side by name (SRC-6, SRC-7)."""
     frames = [json_map(spark, p, value, "source_file").select("source_file", "entry.*") for p in paths]

@@ -34,6 +34,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a path, sorted; none where it doesn't exist."""
+    if not exists(spark, path):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
 def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
     """The table at ``path``, made and written first if no finished one is there."""
     if not exists(spark, f"{path}/_SUCCESS"):

@@ -49,3 +49,46 @@ def test_presets_and_latex(spark):
 def test_metrics_have_columns(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"Accuracy@1": 0.1, "Accuracy@1-5": [0.1, 0.2, 0.3, 0.4, 0.5], "Recall@10": 0.6, "MRR@10": 0.7, "NDCG@10": 0.8}))
     assert tuple(R.retrieval_metrics(spark, str(tmp_path)).first()) == (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
+
+
+def test_tasks_of_configs_carry_their_keys(spark, tmp_path):
+    for preset in ("p", "q"):
+        d = tmp_path / "d" / preset / "Tasks" / "choice_qa" / "test"
+        d.mkdir(parents=True)
+        (d / "b.json").write_text(json.dumps({"Q": {"Question": preset, "Answers": "a", "Options": ["a", "z"]}}))
+    got = R.tasks_of(spark, str(tmp_path), [("d", "p", "test"), ("d", "q", "test")])
+    assert sorted((r.dataset, r.preset, r.split, r.Question, r.Answers) for r in got.collect()) == [("d", "p", "test", "p", ["a"]), ("d", "q", "test", "q", ["a"])]
+    none = R.tasks_of(spark, str(tmp_path), [])
+    assert none.columns == got.columns and none.count() == 0
+
+
+def test_what_a_tree_holds(spark, tmp_path):
+    for kind, split in (("html_tag", "train"), ("sentence", "test"), ("sentence", "odd")):
+        (tmp_path / "fixed" / "a" / "analyze_split_point" / kind / split).mkdir(parents=True)
+    (tmp_path / "fixed" / "file.txt").write_text("")
+    assert R.available_chunkers(spark, str(tmp_path)) == [("fixed", "a")] and R.available_chunkers(spark, f"{tmp_path}/none") == []
+    assert R.available_splits(spark, str(tmp_path), "fixed", "a") == {"train", "test"} and R.available_splits(spark, str(tmp_path), "fixed", "b") == set()
+
+
+def test_merged_tree_takes_the_first_split(spark, tmp_path):
+    for name in ("train/x.txt", "test/x.txt", "test/sub/y.txt", "validation/sub/y.txt", "validation/z.txt", "all/z.txt", "other/w.txt"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(name)
+    got = R.merged_tree(spark, str(tmp_path)).collect()
+    assert sorted((r.relative_path, r.split) for r in got) == [("sub/y.txt", "test"), ("x.txt", "train"), ("z.txt", "all")]
+    assert all(r.path.endswith(f"{r.split}/{r.relative_path}") for r in got)
+    assert R.merged_tree(spark, f"{tmp_path}/other").count() == 0
+
+
+def test_verdicts_of_a_result_tree(spark, tmp_path):
+    d = tmp_path.joinpath(*R.JUDGE_KEYS)
+    d.mkdir(parents=True)
+    text = json.dumps({"q1": {"verdict": "correct"}, "q2": {"verdict": "incorrect"}, "q3": {}})
+    (d / "generation_results.json").write_text(text)
+    (tmp_path / "generation_results.json").write_text(text)
+    broken = tmp_path.joinpath(*R.JUDGE_KEYS[:-1], "other")
+    broken.mkdir()
+    (broken / "generation_results.json").write_text("{")
+    got = R.verdicts(spark, str(tmp_path)).collect()
+    assert sorted((r.split, r.judge, r.question_id, r.value) for r in got) == [("split", "judge", "q1", 1), ("split", "judge", "q2", 0)]
