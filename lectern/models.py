@@ -22,6 +22,10 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+class PairScorer(Protocol):
+    def score(self, pairs: list[tuple[str, str]]) -> np.ndarray: ...
+
+
 class HashingEmbedder:
     """Signed word hashes, scaled to unit length; a text without words is zero."""
 
@@ -42,11 +46,13 @@ _models: dict[Any, Any] = {}
 
 
 def cached(key: Any, make: Callable[[], Any], most: int = 4) -> Any:
-    """A worker's model for a key; the one kept longest goes when there are too many (UD-11)."""
-    if key not in _models:
-        while len(_models) >= most:
-            _models.pop(next(iter(_models)))
-        _models[key] = make()
+    """A worker's model for a key; the one not asked for longest goes when there are too many (UD-11)."""
+    if key in _models:
+        _models[key] = _models.pop(key)
+        return _models[key]
+    while len(_models) >= most:
+        _models.pop(next(iter(_models)))
+    _models[key] = make()
     return _models[key]
 
 
@@ -98,6 +104,28 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(w(query), w(text))) / F.nullif(F.size(w(query)), F.lit(0)), F.lit(0.0))
 
 
+class OverlapScorer:
+    """``overlap_score`` as a model: the share of a query's distinct words that a text has."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> np.ndarray:
+        words = lambda s: set(re.findall(r"[^\W_]+", s.lower()))
+        asked = [(words(q), words(t)) for q, t in pairs]
+        return np.array([len(q & t) / len(q) if q else 0.0 for q, t in asked], np.float64)
+
+
+def pair_scored(df: DataFrame, query: str, text: str, make: Callable[[], PairScorer] = OverlapScorer, name: str = "score", batch: int = 32) -> DataFrame:
+    """The table with a model's score for each query and text; nulls are empty (UD-5)."""
+
+    @F.pandas_udf("double")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = cached((make, "scorer"), make)
+        for q, t in parts:
+            pairs = list(zip(q.fillna(""), t.fillna(""), strict=True))
+            yield pd.Series(in_batches(lambda x: model.score(x).tolist(), pairs, batch), dtype="float64")
+
+    return df.withColumn(name, run(F.col(query), F.col(text)))
+
+
 def generated(df: DataFrame, system: str, user: str, generate: Callable[[str, str], str | None], name: str = "raw", tries: int = 2) -> DataFrame:
     """The table with a model's reply (UD-6); a null reply is asked for once more, then empty."""
 

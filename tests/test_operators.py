@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lectern import models as M
 from lectern.operators import chunkers as C
 from lectern.operators import prepare as P
 from lectern.operators import reports as R
@@ -193,3 +194,26 @@ def test_vector_search_is_the_same_in_small_matrices(spark, monkeypatch):
     for q in range(0, 120, 3):
         near = sorted((round(float(((v[q] - v[i]) ** 2).sum()), 9), i) for i in range(120) if i != q)[:5]
         assert [got[q, k] for k in range(1, 6)] == [i for _, i in near]
+
+
+def test_the_model_not_asked_for_longest_goes():
+    M.clear_models()
+    made = []
+    ask = lambda k: M.cached(k, lambda: made.append(k) or k, most=2)
+    assert [ask(k) for k in "abacab"] == list("abacab")
+    assert made == ["a", "b", "c", "b"]
+    M.clear_models()
+
+
+def test_pair_scorer_is_the_overlap(spark):
+    rows = [("One two", "two three"), ("", "x"), (None, "x"), ("a", None), ("Éa b-c", "éa, c"), ("a a", "a")]
+    df = spark.createDataFrame(rows, "q string, t string").withColumn("plain", M.overlap_score(F.col("q"), F.col("t")))
+    got = M.pair_scored(df, "q", "t", batch=2).collect()
+    assert [r.score for r in got] == pytest.approx([0.5, 0, 0, 0, 2 / 3, 1]) and [r.plain for r in got] == pytest.approx([r.score for r in got])
+
+
+def test_every_old_id_has_its_new_one(spark):
+    books = spark.createDataFrame([(7, "x"), (3, "y"), (5, "x"), (None, "x"), (9, None)], "id long, body string")
+    groups = P.dedup(books, [F.col("body")], "id")
+    got = {r.old_id: r.new_id for r in P.old_to_new(books, [F.col("body")], "id", groups).collect()}
+    assert got == {3: 0, 5: 1, 7: 1, 9: 2}
