@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from lectern.llm.common import dropped, new_folder, shuffle_width, stored
 from lectern.llm.tokens import encoder, largest_id
 
 END_ID = 1
-#: Ids under the rolling hash; mean, least and most ids of a chunk.
+#: Ids under the rolling hash; mean (a power of two), least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 1024
 #: Words of one generation of a worker's table (two generations: some 0.4 GB).
 CACHE_WORDS = 500_000
@@ -53,16 +53,21 @@ def _gear(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+#: Of the ids of two bytes, whose low 32 bits are looked up.
+_GEARS = _gear(np.arange(1 << 16)).astype(np.uint32)
+
+
 def marks(ids: np.ndarray) -> np.ndarray:
     """Where the rolling hash meets the mask: ends of possible chunks, in a stream of whole documents.
 
     A window may reach into the document before only within its first ids, where no chunk ends (LEAST > WINDOW).
     """
-    h, k = _gear(ids), 1
+    # The mask reads the low bits alone, to which higher ones never carry down: 32 bits do.
+    h, k = _GEARS[ids] if not len(ids) or int(ids.max()) < len(_GEARS) else _gear(ids).astype(np.uint32), 1
     while k < WINDOW:  # a window twice as long is two of these, the older one shifted
-        h[k:] += h[:-k].copy() << _U(k)
+        h[k:] += h[:-k] << np.uint32(k)
         k *= 2
-    return np.flatnonzero((h >> _U(WINDOW)) % _U(MEAN) == 0) + 1
+    return np.flatnonzero(h & np.uint32(MEAN - 1 << WINDOW) == 0) + 1
 
 
 def _kept(ends: list[int], n: int) -> list[int]:
@@ -196,40 +201,55 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) ->
                 continue
             first, second = t.take(pa.array(range(0, 2 * n, 2))), t.take(pa.array(range(1, 2 * n, 2)))
             elsewhere, own = first.column("elsewhere").combine_chunks(), second.column("payload").combine_chunks()
-            gone = elsewhere.is_valid().to_numpy(zero_copy_only=False)
-            if gone.any():
-                kept = own.to_pylist()
-                for i in np.flatnonzero(gone).tolist():
-                    r = {"sizes": second.column("sizes")[i].as_py(), "elsewhere": elsewhere[i].as_py()}
-                    kept[i] = b"".join(_not_elsewhere(r, kept[i], width))
+            sizes = second.column("sizes").combine_chunks()
+            if elsewhere.null_count < n:
+                kept = own.to_numpy(zero_copy_only=False).tolist()
+                for i, (chunks, gone) in enumerate(zip(_lists(sizes), _lists(elsewhere, "seq"), strict=True)):
+                    if gone:
+                        kept[i] = b"".join(_not_elsewhere(chunks, gone, kept[i], width))
                 own = pa.array(kept, pa.binary())
-            columns = [first.column("doc_id"), first.column("uid"), first.column("start"), second.column("n_tokens"), second.column("sizes"), elsewhere, second.column("root"), own, pa.array(np.full(n, width, np.int32))]
+            columns = [first.column("doc_id"), first.column("uid"), first.column("start"), second.column("n_tokens"), sizes, elsewhere, second.column("root"), own, pa.array(np.full(n, width, np.int32))]
             yield from pa.Table.from_arrays(columns, ["doc_id", "uid", "start", "n_tokens", "sizes", "elsewhere", "root", "own", "width"]).combine_chunks().to_batches()
 
     rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     dropped(spark, stage)
 
 
-def _not_elsewhere(r: dict, payload: bytes, width: int) -> list[bytes]:
+def _lists(column: pa.ListArray, field: str | None = None) -> list[list[int]]:
+    """A column's lists of numbers, or of one field's numbers, empty where null."""
+    values = column.flatten()
+    values = (values.field(field) if field else values).to_numpy(zero_copy_only=False).tolist()
+    ends = np.cumsum([0, *pc.list_value_length(column).fill_null(0).to_pylist()]).tolist()
+    return [values[a:z] for a, z in zip(ends, ends[1:], strict=False)]
+
+
+def _not_elsewhere(sizes: list[int], gone: Collection[int], payload: bytes, width: int) -> list[bytes]:
     """The chunks of a whole payload that the document owns."""
-    gone, at, out = {x["seq"] for x in r["elsewhere"]}, 0, []
-    for seq, n in enumerate(r["sizes"]):
+    gone, at, out = {*gone}, 0, []
+    for seq, n in enumerate(sizes):
         if seq not in gone:
             out.append(payload[at : at + width * n])
         at += width * n
     return out
 
 
-def _pieces(r: dict, width: int) -> dict[int, bytes]:
+def _pieces(sizes: list[int], gone: Collection[int], own: bytes, width: int) -> dict[int, bytes]:
     """The owned chunks of one pack row by their place."""
-    gone, at, out = {x["seq"] for x in r["elsewhere"] or ()}, 0, {}
-    for seq, n in enumerate(r["sizes"]):
+    gone, at, out = {*gone}, 0, {}
+    for seq, n in enumerate(sizes):
         if seq not in gone:
-            out[seq] = r["own"][at : at + width * n]
+            out[seq] = own[at : at + width * n]
             at += width * n
     return out
 
 
+def _rows(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple]:
+    """The rows of a batch, with the places alone of ``elsewhere``."""
+    columns = [(n, batch.column(n)) for n in names]
+    made = [_lists(c, "seq" if n == "elsewhere" else None) if pa.types.is_list(c.type) else c.to_pylist() for n, c in columns]
+    yield from zip(*made, strict=True)
+
+
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every document, verified against its root.
 
@@ -245,34 +265,39 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                found = [(r["uid"], seq, chunk) for r in b.slice(at, 256).to_pylist() for seq, chunk in _pieces(r, width).items()]
+                rows = _rows(b.slice(at, 256), ("uid", "sizes", "elsewhere", "own"))
+                found = [(uid, seq, chunk) for uid, sizes, gone, own in rows for seq, chunk in _pieces(sizes, gone, own, width).items()]
                 owner, seq, chunk = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(seq, pa.int32()), pa.array(chunk, pa.binary())], ["owner", "at", "chunk"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(r: dict, more: dict[int, bytes]) -> tuple:
-            parts = _pieces(r, width) | more
-            chunks = [parts[seq] for seq in range(len(r["sizes"]))]
-            if merkle_root([address(c) for c in chunks]) != r["root"]:
-                raise ValueError(f"document {r['doc_id']}: its chunks do not match its Merkle root")
+        def done(r: tuple, more: dict[int, bytes]) -> tuple:
+            doc_id, start, n_tokens, sizes, gone, root, own = r
+            parts = _pieces(sizes, gone, own, width) | more
+            chunks = [parts[seq] for seq in range(len(sizes))]
+            if merkle_root([address(c) for c in chunks]) != root:
+                raise ValueError(f"document {doc_id}: its chunks do not match its Merkle root")
             ids = np.frombuffer(b"".join(chunks), f"<u{width}").astype("<u4").tobytes()
-            return r["doc_id"], r["start"], r["n_tokens"], zlib.crc32(ids) if digest else ids
+            return doc_id, start, n_tokens, zlib.crc32(ids) if digest else ids
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (id_kind, pa.int64(), pa.int64(), pa.int64() if digest else pa.binary()), strict=True)], ["doc_id", "start", "n_tokens", last])
 
+        taken = ("doc_id", "start", "n_tokens", "sizes", "elsewhere", "root", "own")
         row, more, out = None, {}, []
         for b in batches:
             id_kind = b.schema.field("doc_id").type
             for at in range(0, b.num_rows, 256):
-                for r in b.slice(at, 256).to_pylist():
-                    if r.get("seq", -1) < 0:
+                part = b.slice(at, 256)
+                seqs, chunks = (part.column(n).to_pylist() for n in ("seq", "chunk")) if "seq" in b.schema.names else ([-1] * part.num_rows,) * 2
+                for r, seq, chunk in zip(_rows(part, taken), seqs, chunks, strict=True):
+                    if seq < 0:
                         if row is not None:
                             out.append(done(row, more))
                         row, more = r, {}
                     else:
-                        more[r["seq"]] = r["chunk"]
+                        more[seq] = chunk
                 if out:
                     yield batch(out)
                     out = []

@@ -28,7 +28,7 @@ _N = "0-9²³¹¼½¾"
 _SAFE = re.compile("[\t\n\r -~\xa1-įı-ɏ‐-‧‰-⁞]*")
 #: Safe characters whose lower case is in no class of the pattern but that for punctuation, though the library knows them as letters.
 _LEAVES = "".join(c for c in map(chr, range(0x80, 0x250)) if _SAFE.fullmatch(c) and not _SAFE.fullmatch(c.lower()))
-_SAFE_LOWERED = re.compile(f"[^{_LEAVES}]*")
+_SAFE_LOWERED = re.compile(f"[{''.join(re.escape(c) for c in map(chr, range(0x2100)) if _SAFE.fullmatch(c) and c not in _LEAVES)}]*")
 #: The split patterns of the two vocabularies, with the classes written out for those characters.
 _BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 _WORD_ENDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
@@ -79,11 +79,11 @@ class Encoder:
         return None, False
 
     def _learn(self, missing: list[str]) -> None:
-        joined, rest = [], []
-        for w in missing:
-            (joined if self.lower or self.plain(w) else rest).append(w)
-        for at in range(0, len(joined), 2048):
-            part = joined[at : at + 2048]
+        joined, rest, step = (missing, [], 256) if self.lower else ([], [], 2048)
+        for w in () if self.lower else missing:
+            (joined if self.plain(w) else rest).append(w)
+        for at in range(0, len(joined), step):
+            part = joined[at : at + step]
             ids = np.asarray(self.joiner.encode_batch_fast([(" " if self.lower else "").join(part)], add_special_tokens=False)[0].ids, "<u4")
             marks = 4 * np.flatnonzero(self.border[ids])
             cuts = [0, *(marks + 4).tolist()] if self.lower else [*marks.tolist(), 4 * len(ids)]
@@ -121,7 +121,7 @@ class Encoder:
 
     def _splits_here(self, text: str) -> bool:
         """Whether a text's words are found here; else it goes to the library whole."""
-        if self.pattern is None or not _SAFE.fullmatch(text) or (self.lower and not _SAFE_LOWERED.fullmatch(text)):
+        if self.pattern is None or not (_SAFE_LOWERED if self.lower else _SAFE).fullmatch(text):
             return False
         return not any(s in text for s in self.special)
 
@@ -134,24 +134,31 @@ class Encoder:
         return [b"".join(map(look, f)) for f in found]
 
     def _between_blanks(self, texts: list[str]) -> list[bytes]:
-        """As the pattern drops blanks, whole pieces between them are looked up, each distinct one of these texts once."""
+        """As the pattern drops blanks, whole pieces between them are coded, each distinct one of these texts once."""
         pieces = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))  # blanks of safe texts are ASCII
         coded = pieces.flatten().dictionary_encode()
-        words, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        self.known.setdefault("", b"")  # a blank at either end leaves an empty piece
-        found = list(map(self.known.get, words))
-        if missing := [w for w, ids in zip(words, found, strict=True) if ids is None]:
-            self._meet(missing, words)
-            found = list(map(self.known.__getitem__, words))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        table, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
-        n = sizes[places]
-        ends = np.cumsum(n)
-        ids = table[np.repeat(starts[places] - ends + n, n) + np.arange(n.sum())]
-        cuts = (4 * np.concatenate([[0], ends])[pieces.offsets.to_numpy()]).tolist()
+        ids, ends = _gathered(*self._of_pieces(coded.dictionary), coded.indices.to_numpy())
+        cuts = (4 * ends[pieces.offsets.to_numpy()]).tolist()
         raw = ids.tobytes()
         return [raw[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
 
+    def _of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces end to end, and where each ends. Only their words are looked up, each distinct one once."""
+        mixed = pc.invert(pc.utf8_is_alpha(pieces))  # letters of safe texts are those of the pattern
+        apart = pc.replace_substring_regex(pieces.filter(mixed), self.pattern.pattern, r"\0 ")
+        words = pc.ascii_split_whitespace(pc.replace_with_mask(pieces, mixed, apart))
+        coded = words.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.known.setdefault("", b"")  # a blank at either end leaves an empty piece
+        found = list(map(self.known.get, names))
+        if missing := [i for i, ids in enumerate(found) if ids is None]:
+            self._meet([names[i] for i in missing], names)
+            for i in missing:
+                found[i] = self.known[names[i]]
+        ends = np.cumsum([0, *map(len, found)]) // 4
+        ids, ends = _gathered(np.frombuffer(b"".join(found), "<u4"), ends, coded.indices.to_numpy())
+        return ids, ends[words.offsets.to_numpy()]
+
     def _meet(self, missing: Collection[str], found: Collection[str]) -> None:
         """Put the missing of the found into the table."""
         if len(self.known) + len(missing) > self.cache_words:
@@ -164,15 +171,14 @@ class Encoder:
                 new.append(w)
             else:
                 known[w] = ids
-        if not self.lower:
-            self._learn(new)
-            return
-        compound = {w: p for w in new if not w.isalpha() and len(p := self.pattern.findall(w)) > 1}  # letters of safe texts are those of the pattern
-        words = {w for w in new if w not in compound}
-        words.update(x for p in compound.values() for x in p if x not in known)
-        self._learn(list(words))
-        for w, p in compound.items():
-            known[w] = b"".join([known[x] for x in p])
+        self._learn(new)
+
+
+def _gathered(ids: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ids at these places, end to end, and where each ends; both lists of ends begin with 0."""
+    n = np.diff(ends)[places]
+    to = np.concatenate([[0], np.cumsum(n)])
+    return ids[np.repeat(ends[places] - to[:-1], n) + np.arange(to[-1])], to
 
 
 def largest_id(path: str) -> int:

@@ -504,6 +504,23 @@ def test_backtracking_bpe_is_the_library(docs):
     assert {r.doc_id: r.decoded for r in bpe.encoded(docs, path).select("doc_id", "decoded").collect()} == {i: t or "" for i, t, *_ in rows()}
 
 
+def test_words_beside_punctuation_are_kept_once():
+    path = tokens.vocabulary_path("word_bpe_49k.json")
+    own, text = tokens.Encoder(path), "Alpha, alpha. (alpha) alpha; it's alpha's 'alpha' a1,2.."
+    ids = own.encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {*own.known} - {""} == {"alpha", "it", "a", "'s", "'", "1", "2", *",.();", ".."}
+
+
+def test_rolling_hash_of_narrow_and_wide_ids_by_its_definition():
+    for high in (50, 1 << 16, 70_000):
+        ids = np.random.default_rng(high).integers(0, high, 20_000).astype("<u4")
+        gears = [int(x) for x in token_store._gear(ids)]
+        sums = [sum(g << k for k, g in enumerate(reversed(gears[max(0, i + 1 - token_store.WINDOW) : i + 1]))) for i in range(len(ids))]
+        want = [i + 1 for i, x in enumerate(sums) if (x % 2**64 >> token_store.WINDOW) % token_store.MEAN == 0]
+        assert token_store.marks(ids).tolist() == want
+
+
 def test_token_store_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
