@@ -10,6 +10,10 @@ blocks (``BLOCK_BYTES``, all of about one length) that cover it whole, each
 compressed afresh; their sizes are summed, and margin and score don't depend on
 how long the text is.
 
+Texts reach Python in batches that end with the row which goes past ``BATCH_BYTES``, so
+that memory is bounded by that and the longest text; the result, without texts,
+is written to the shared folder.
+
 The dictionaries hold at most ``dictionary_bytes`` of at most ``rows_per_lang``
 texts a language (documented bounds); every whole text is classified.
 
@@ -30,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import held_out
+from lectern.llm.common import arrow_batches, held_out, stored
 
 ROWS_PER_LANG, DICTIONARY_BYTES = 400, 32 * 1024
 #: Bytes of a text that are compressed at once.
 BLOCK_BYTES = 2 * 1024
+#: Bytes of text that a Python worker is sent at once.
+BATCH_BYTES = 4 << 20
 #: Lead in bits a byte of text under which a guess is rejected.
 NARROW = 0.02
 _LETTER = re.compile(r"[^\W\d_]")
@@ -97,6 +103,8 @@ def classified(docs: DataFrame, learned: dict[str, bytes], narrow: float = NARRO
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, margin double")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        out = stored(out, "languages")
     return out.withColumn("accepted", (F.col("lang_pred") != "und") & (F.col("margin") >= narrow))
 
 

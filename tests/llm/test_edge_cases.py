@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import time
 import unicodedata
@@ -655,6 +656,35 @@ def test_language_margin_does_not_sink_with_length(spark):
     assert b"".join(parts) == raw and max(map(len, parts)) <= language_id.BLOCK_BYTES and language_id.blocks(b"x") == [b"x"]
 
 
+def test_language_batches_are_bounded(spark, tmp_path, monkeypatch):
+    kind, seen, key = type(spark.range(0)), str(tmp_path), "spark.sql.execution.arrow.maxBytesPerBatch"
+    plain = kind.mapInArrow
+
+    def noted(self, f, *more, **named):
+        def g(batches):
+            def told():
+                for b in batches:
+                    with open(f"{seen}/{os.getpid()}", "a") as out:
+                        print(b.nbytes, file=out)
+                    yield b
+
+            return f(told())
+
+        return plain(self, g, *more, **named)
+
+    monkeypatch.setattr(kind, "mapInArrow", noted)
+    words = {"en": "the and of with this that ", "de": "der die und nicht mit ein "}
+    one, most = 100_000, 4 << 20
+    data = [(i, (words[x] * one)[:one] if i != 77 else words[x] * 300_000) for i, x in enumerate(["en", "de"] * 100)]
+    before = spark.conf.get(key)
+    found = language_id.classified(spark.createDataFrame(data, "doc_id long, text string").coalesce(1), {x: (t * 50).encode() for x, t in words.items()})
+    assert {r.doc_id: r.lang_pred for r in found.collect()} == {i: ("en", "de")[i % 2] for i, _ in data}
+    sizes = [int(x) for f in tmp_path.iterdir() for x in f.read_text().split()]
+    # A text above the bound comes last in its batch, which then holds no more.
+    assert sum(sizes) >= sum(len(t) for _, t in data) and sum(x > most + 2 * one for x in sizes) == 1
+    assert max(sizes) <= len(data[77][1]) + most + 2 * one and spark.conf.get(key) == before
+
+
 def test_revisits(spark):
     h = [("content-type", "text/html"), ("date", "1")]
     rows_ = [
