@@ -20,14 +20,13 @@ texts a language (documented bounds); every whole text is classified.
 Matches of three bytes count (an optimal parser finds them), since the words of
 a language share short pieces.
 
-Defined results: a null text or one without a letter is ``und`` with score 0;
+Defined results: a null text or one without a letter (Unicode's categories L) is ``und`` with score 0;
 ties go to the language with more learned documents, then to the first by name; repeated rows get equal results; with
 no language to learn everything is ``und``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +42,6 @@ BLOCK_BYTES = 2 * 1024
 BATCH_BYTES = 4 << 20
 #: Lead in bits a byte of text under which a guess is rejected.
 NARROW = 0.02
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def dictionaries(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -89,7 +87,7 @@ def classified(docs: DataFrame, learned: dict[str, bytes], narrow: float = NARRO
         for b in batches:
             pred, score, margin = [], [], []
             for t in b.column("text").to_pylist():
-                if not langs or t is None or not _LETTER.search(t):
+                if not langs or t is None or not any(map(str.isalpha, t)):
                     pred.append("und"), score.append(0.0), margin.append(0.0)
                     continue
                 raw = t.lower().encode()

@@ -656,6 +656,15 @@ def test_language_margin_does_not_sink_with_length(spark):
     assert b"".join(parts) == raw and max(map(len, parts)) <= language_id.BLOCK_BYTES and language_id.blocks(b"x") == [b"x"]
 
 
+def test_language_of_texts_without_letters(spark):
+    texts = ["\u00b2", "\u00bd \u2167 \u2460", "\u0663", "_1", "\u0301", "1 a", "\u65e5", "\u00aa", "\u02b0", "\u01c5"]
+    out = language_id.classified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {"en": b"the and of with"}).collect()
+    for r in out:
+        letter = any(unicodedata.category(c)[0] == "L" for c in texts[r.doc_id])
+        assert r.lang_pred == ("en" if letter else "und") and (letter or r.score == 0 and not r.accepted)
+    assert len(out) == len(texts)
+
+
 def test_language_batches_are_bounded(spark, tmp_path, monkeypatch):
     kind, seen, key = type(spark.range(0)), str(tmp_path), "spark.sql.execution.arrow.maxBytesPerBatch"
     plain = kind.mapInArrow
