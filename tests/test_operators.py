@@ -148,6 +148,34 @@ def test_mantel_takes_all_pairs_of_more_than_2000_rows(spark, monkeypatch, heavy
     assert clustering.mantel(rows.limit(2)).first().mantel_corr is None
 
 
+@pytest.mark.parametrize("units", [1 << 26, 1 << 22])
+def test_mantel_writes_no_pairs(spark, monkeypatch, units):
+    """Two million pairs, most with equals, in tables: the same as by brute force, and less disk than two bytes a pair."""
+    import numpy as np
+    import pandas as pd
+
+    from lectern.operators import clustering
+
+    monkeypatch.setattr(clustering, "HEAVY_PAIRS", 20_000)
+    monkeypatch.setattr(clustering, "TABLE_UNITS", units, raising=False)
+    monkeypatch.setattr(clustering, "BUCKETS", 1 << 12)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(500, 3)), 4, 0)
+    y = rng.integers(-3, 4, len(x)) / (1 if units == 1 << 26 else 2)  # labels that aren't whole numbers, too
+    i, j = np.triu_indices(len(x), 1)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rank = lambda a: pd.Series(a).rank().to_numpy()
+    want = np.corrcoef(rank(np.round(1 - (u[i] * u[j]).sum(1), 9)), rank(np.abs(y[i] - y[j])))[0, 1]
+    kind = "long" if units == 1 << 26 else "double"
+    rows = spark.createDataFrame([(k, b, a.tolist()) for k, (a, b) in enumerate(zip(x, y.astype(int).tolist() if kind == "long" else y.tolist(), strict=True))], f"id long, label {kind}, v array<double>")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    used = lambda: sum(f.apply(k).length() for f in [disk.getAllFiles()] for k in range(f.size()))
+    before = used()
+    got = clustering.mantel(rows, permutations=2).first()
+    assert got.mantel_corr == pytest.approx(want, abs=1e-9)
+    assert used() - before < 2 * len(i)
+
+
 def test_dbcv_against_its_definition(spark):
     import numpy as np
 
