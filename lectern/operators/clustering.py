@@ -357,8 +357,12 @@ def mantel(rows: DataFrame, permutations: int = 199, seed: int = 42) -> DataFram
     return spark.createDataFrame([(float(corr[0]), (more + 1) / (permutations + 1))], kind)
 
 
+#: Distances of one tile within a label's task.
+DBCV_TILE = 1 << 19
+
+
 @embedding_metrics.register("dbcv")
-def dbcv(rows: DataFrame, most: int = 5000) -> DataFrame:
+def dbcv(rows: DataFrame) -> DataFrame:
     """Density-based validity by cosine distance (EM-11).
 
     For each label: core distances, a least spanning tree of mutual
@@ -367,7 +371,9 @@ def dbcv(rows: DataFrame, most: int = 5000) -> DataFrame:
     A label without inner nodes takes all its nodes and edges; edges as wide as
     each other, of which there are many, go by their distance; with one label alone there is no value.
 
-    A tree needs a label's rows together, so a label of more than ``most`` fails the query rather than the task.
+    A tree needs a label's rows together, but no matrix of them: distances are
+    worked out a tile or a row at a time, so memory grows with a label's rows,
+    and a task's time with their square.
     """
     import numpy as np
     import pandas as pd
@@ -375,29 +381,48 @@ def dbcv(rows: DataFrame, most: int = 5000) -> DataFrame:
     def apart(v, w):
         return np.maximum(1 - v @ w.T, 0)
 
+    def cores(v):
+        """The mean of the distances to all others to the power -dim, to the power -1/dim, in logarithms, since that overflows for many dimensions."""
+        n, dim = v.shape
+        core, step = np.zeros(n), max(1, DBCV_TILE // n)
+        for k in range(0, n, step):
+            d = apart(v[k : k + step], v)
+            d[np.arange(len(d)), np.arange(k, k + len(d))] = 0
+            far = np.where(d > 1e-12, -dim * np.log(np.maximum(d, 1e-12)), -np.inf)
+            top = np.maximum(far.max(1, keepdims=True), -1e300)
+            core[k : k + step] = np.exp(-(np.log(np.maximum(np.exp(far - top).sum(1) / max(n - 1, 1), 1e-300)) + top[:, 0]) / dim)
+            core[k : k + step][~np.isfinite(far).any(1)] = 0
+        return core
+
+    def spanning(v, core):
+        """The edges (i, j, width) of a least spanning tree by Prim. Of the nodes still out only rows count; they are packed anew now and then."""
+        n = len(v)
+        out, w, c = np.arange(1, n), v[1:], core[1:]
+        then = apart(v[:1], w)[0]
+        best, parent, edges = np.maximum(then, np.maximum(core[0], c)), np.zeros(n - 1, int), []
+        left, wide = n - 1, best.copy()
+        while left:
+            low = np.flatnonzero(wide == wide.min())
+            k = int(low[then[low].argmin()])
+            node = int(out[k])
+            edges.append((int(parent[k]), node, float(best[k])))
+            wide[k], left = np.inf, left - 1
+            if left < 0.8 * len(out):
+                keep = np.isfinite(wide)
+                out, w, c, then, best, parent, wide = (x[keep] for x in (out, w, c, then, best, parent, wide))
+            d = apart(v[node : node + 1], w)[0]
+            m = np.maximum(np.maximum(d, c), core[node])
+            nearer = np.flatnonzero(((m < best) | ((m == best) & (d < then))) & np.isfinite(wide))
+            parent[nearer], then[nearer], best[nearer], wide[nearer] = node, d[nearer], m[nearer], m[nearer]
+        return edges
+
     def tree(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id")
         v = np.stack(p["v"].to_numpy())
-        n, dim = v.shape
-        if n > most:
-            raise ValueError(f"label {p['label'].iloc[0]} has {n} rows; this metric takes {most} at most")
+        n = len(v)
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), EPS)
-        d = apart(v, v)
-        np.fill_diagonal(d, 0)
-        # The mean of d to the power -dim, in logarithms, since that overflows for many dimensions.
-        far = np.where(d > 1e-12, -dim * np.log(np.maximum(d, 1e-12)), -np.inf)
-        top = np.maximum(far.max(1, keepdims=True), -1e300)
-        core = np.exp(-(np.log(np.maximum(np.exp(far - top).sum(1) / max(n - 1, 1), 1e-300)) + top[:, 0]) / dim)
-        core[~np.isfinite(far).any(1)] = 0
-        m = np.maximum(d, np.maximum(core[:, None], core[None]))
-        best, then, parent, left, edges = m[0].copy(), d[0].copy(), np.zeros(n, int), np.arange(n) > 0, []
-        for _ in range(n - 1):
-            wide = np.where(left, best, np.inf)
-            k = int(np.where(wide == wide.min(), then, np.inf).argmin())
-            edges.append((parent[k], k, best[k]))
-            left[k] = False
-            nearer = left & ((m[k] < best) | ((m[k] == best) & (d[k] < then)))
-            parent[nearer], best[nearer], then[nearer] = k, m[k][nearer], d[k][nearer]
+        core = cores(v)
+        edges = spanning(v, core)
         degree = np.bincount([x for a, b, _ in edges for x in (a, b)], minlength=n)
         inner = degree > 1 if (degree > 1).any() else np.ones(n, bool)
         widths = [w for a, b, w in edges if inner[a] and inner[b]] or [w for _, _, w in edges] or [0.0]
@@ -407,9 +432,10 @@ def dbcv(rows: DataFrame, most: int = 5000) -> DataFrame:
         one = p["label"].to_numpy() == p["a"].iloc[0]
         v, core = np.stack(p["v"].to_numpy()), p["core"].to_numpy()
         least = np.inf
-        theirs, their_core = v[~one], core[~one]
-        for k in np.flatnonzero(one):  # one row at a time: no matrix of two labels is held
-            least = min(least, float(np.maximum(np.maximum(apart(v[k : k + 1], theirs)[0], their_core), core[k]).min()))
+        (ours, our_core), (theirs, their_core) = (v[one], core[one]), (v[~one], core[~one])
+        step = max(1, DBCV_TILE // max(1, len(theirs)))
+        for k in range(0, len(ours), step):  # a tile at a time: no matrix of two labels is held
+            least = min(least, float(np.maximum(np.maximum(apart(ours[k : k + step], theirs), their_core), our_core[k : k + step, None]).min()))
         return pd.DataFrame({"a": p["a"].iloc[:1], "b": p["b"].iloc[:1], "gap": [least]})
 
     from lectern.sources.stage import stored

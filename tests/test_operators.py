@@ -208,6 +208,44 @@ def test_dbcv_against_its_definition(spark):
     assert abs(got - want) < 1e-6
 
 
+def test_dbcv_of_a_label_of_more_than_5000_rows(spark, monkeypatch):
+    """Two labels, one of 5,200 rows: the value that whole matrices give."""
+    import numpy as np
+
+    from lectern.operators import clustering
+
+    monkeypatch.setattr(clustering, "DBCV_TILE", 5200 * 300, raising=False)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([[3, 0, 0] + rng.normal(size=(5200, 3)), [0, 3, 0] + rng.normal(size=(40, 3))])
+    label = np.repeat([0, 1], [5200, 40])
+    got = clustering.dbcv(spark.createDataFrame([(i, int(g), v.tolist()) for i, (g, v) in enumerate(zip(label, x, strict=True))], "id long, label long, v array<double>")).first()[0]
+
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    inner, core, sparse, n = {}, {}, {}, {}
+    for g in (0, 1):
+        v = u[label == g]
+        n[g] = len(v)
+        d = np.maximum(1 - v @ v.T, 0)
+        np.fill_diagonal(d, np.inf)
+        core[g] = (np.where(d > 1e-12, d, np.inf) ** -3.0).sum(1)
+        core[g] = (core[g] / (len(v) - 1)) ** (-1 / 3)
+        m = np.maximum(d, np.maximum(core[g][:, None], core[g][None]))
+        best, then, parent, left, edges = m[0].copy(), d[0].copy(), np.zeros(len(v), int), np.arange(len(v)) > 0, []
+        for _ in range(len(v) - 1):
+            wide = np.where(left, best, np.inf)
+            k = int(np.where(wide == wide.min(), then, np.inf).argmin())
+            edges.append((parent[k], k, best[k]))
+            left[k] = False
+            nearer = left & ((m[k] < best) | ((m[k] == best) & (d[k] < then)))
+            parent[nearer], best[nearer], then[nearer] = k, m[k][nearer], d[k][nearer]
+        degree = np.bincount([x for a, b, _ in edges for x in (a, b)], minlength=len(v))
+        inner[g], sparse[g] = degree > 1, max(w for a, b, w in edges if degree[a] > 1 and degree[b] > 1)
+        inner[g] = (v[inner[g]], core[g][inner[g]])
+    gap = np.maximum(np.maximum(1 - inner[0][0] @ inner[1][0].T, inner[0][1][:, None]), inner[1][1][None]).min()
+    want = sum(n[g] * (gap - sparse[g]) / max(gap, sparse[g]) for g in (0, 1)) / len(x)
+    assert abs(got - want) < 1e-9
+
+
 def test_vector_search_is_the_same_in_small_matrices(spark, monkeypatch):
     import numpy as np
 
