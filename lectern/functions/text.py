@@ -134,14 +134,42 @@ def genre_tags(s: Column) -> Column:
     return F.filter(parts, lambda x: F.length(x) > 0)
 
 
+def fixed_point(x: Column, places: int) -> Column:
+    """A number to one or two places as C prints it: by the exact value of the double, halves to even.
+
+    ``format_string`` rounds the shortest decimal that names the double, which differs: 0.125 is 0.13 there, and 1.005,
+    which is a little less, 1.01. Beyond 2**62 units of
+    the last place it is used nevertheless. Null stays null.
+    """
+    scale = 10**places
+    a = F.abs(x.cast("double"))
+    # a * scale is product + rest, exactly: the halves of a have few enough bits for products without rounding.
+    big = a * F.lit(134217729.0)
+    high = big - (big - a)
+    product = a * F.lit(float(scale))
+    rest = (high * F.lit(float(scale)) - product) + (a - high) * F.lit(float(scale))
+    whole = F.floor(product)
+    part = product - whole
+    # Above 2**52 a product has no fraction of its own, but its rest may go past a half, or more than one.
+    shift = F.when(part == 0, F.floor(rest)).otherwise(F.lit(0).cast("long"))
+    base = whole + shift
+    beyond = F.when(part == 0, (rest - shift) - 0.5).otherwise((part - 0.5) + rest)
+    n = base + F.when((beyond > 0) | ((beyond == 0) & (base % 2 != 0)), 1).otherwise(0)
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    digits = F.lpad((n % scale).cast("string"), places, "0")
+    plain = F.concat(sign, F.call_function("div", n, F.lit(scale)).cast("string"), F.lit("."), digits)
+    return F.when(a * scale < float(1 << 62), plain).when(a.isNotNull(), F.format_string(f"%.{places}f", x.cast("double")))
+
+
 def format_seconds(x: Column) -> Column:
     """Seconds as text in s, min or h (F-FMT)."""
-    return F.when(x.isNull(), "").when(x < 60, F.format_string("%.2f s", x)).when(x < 3600, F.format_string("%.2f min", x / 60)).otherwise(F.format_string("%.2f h", x / 3600))
+    of = lambda y, unit: F.concat(fixed_point(y, 2), F.lit(f" {unit}"))
+    return F.when(x.isNull(), "").when(x < 60, of(x, "s")).when(x < 3600, of(x / 60, "min")).otherwise(of(x / 3600, "h"))
 
 
 def percent(part: Column, whole: Column) -> Column:
     """A share as text (F-PCT)."""
-    return F.format_string("%.1f%%", 100 * part / whole)
+    return F.concat(fixed_point(100 * part / whole, 1), F.lit("%"))
 
 
 def label(*parts: Column) -> Column:

@@ -75,3 +75,20 @@ def test_vectors(spark):
     assert values(spark, schema, rows, V.cosine(F.col("a"), F.col("b"))) == pytest.approx([0, 0.5**0.5])
     assert values(spark, schema, rows, V.normalised(F.col("b")))[0] == [0, 0]
     assert values(spark, "n int", [(20,), (21,)], V.size_factor(F.col("n"))) == pytest.approx([1 / (1 + math.exp(-20)), math.log1p(math.exp(0.5)) / math.log(2)])
+
+
+def test_numbers_print_as_in_c(spark):
+    """Halves, near halves, signs and large numbers against C's own rounding."""
+    import random
+    import struct
+
+    rng = random.Random(4)
+    xs = [0.125, 0.375, 1.005, 2.675, 0.005, 0.015, -0.125, -0.001, -0.0, 0.0, 59.995, 12.5, 6.25, 1e-300, 999999.995, 2.0**46 + 0.015625, 2.0**52 + 0.5, 2.0**53 + 2, 3.0**33, 4.5e16]
+    xs += [k / 8 for k in range(400)] + [rng.uniform(0, 1e6) for _ in range(2000)] + [k * 0.7137 for k in range(0, 3_000_000, 997)]
+    xs += [x for x in (struct.unpack("d", struct.pack("q", rng.getrandbits(63)))[0] for _ in range(3000)) if x < 4e16]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", T.fixed_point(F.col("x"), 2).alias("two"), T.fixed_point(F.col("x"), 1).alias("one"))
+    for x, two, one in df.collect():
+        assert (two, one) == (f"{x:.2f}", f"{x:.1f}"), x
+    df = spark.createDataFrame([(0.125,), (450.3,), (7218.0,), (None,)], "x double")
+    assert [r[0] for r in df.select(T.format_seconds(F.col("x"))).collect()] == ["0.12 s", "7.50 min", "2.00 h", ""]
+    assert spark.range(1).select(T.percent(F.lit(1), F.lit(16)).alias("a"), T.percent(F.lit(None).cast("int"), F.lit(16)).alias("b")).first() == ("6.2%", None)
