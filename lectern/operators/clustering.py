@@ -17,8 +17,8 @@ EPS = 1e-12
 
 
 def unit(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))
+    # The norm as a list of one, so that it is worked out once a row and not once an element.
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))), F.lit(0))
 
 
 def prepared(df: DataFrame, id_column: str, label: str, vector: str) -> DataFrame:
@@ -155,8 +155,9 @@ def xie_beni(m: DataFrame) -> DataFrame:
 def knn_consistency(rows: DataFrame, k: int = 10) -> DataFrame:
     """Mean gap of labels to the k nearest rows by cosine (EM-5): rows against all rows in blocks of bounded size."""
     from lectern.operators.retrieval import knn_global
+    from lectern.sources.stage import stored
 
-    u = rows.select("id", "label", unit(F.col("v")).alias("v"))
+    u = stored(rows.select("id", "label", unit(F.col("v")).alias("v")), "unit")
     near = knn_global(u.select(F.col("id").alias("qid"), F.col("v").alias("vector")), u.select(F.col("id").alias("chunk_id"), F.col("v").alias("vector")), k)
     pairs = near.join(u.select(F.col("id").alias("qid"), "label"), "qid").join(u.select(F.col("id").alias("chunk_id"), F.col("label").alias("other")), "chunk_id")
     gap = pairs.groupBy("qid").agg(F.avg(F.abs(F.col("label") - F.col("other"))).alias("gap"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,22 @@ def stored(df: DataFrame, tag: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
+    """What runs meanwhile sends rows to Python in batches of about ``most`` bytes, one row at least.
+
+    Spark holds a batch several times for each task, and Python once more. The setting is read when a plan runs, so
+    results must be written before this ends.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system it names."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -262,6 +262,27 @@ def test_vector_search_is_the_same_in_small_matrices(spark, monkeypatch):
         assert [got[q, k] for k in range(1, 6)] == [i for _, i in near]
 
 
+def test_vector_search_takes_no_vector_to_the_driver(spark, monkeypatch):
+    """Many equal vectors and equal distances, in many small blocks: as by brute force, with no vectors collected."""
+    import numpy as np
+    from pyspark.sql import DataFrame
+
+    rng = np.random.default_rng(6)
+    v = np.concatenate([np.tile(rng.normal(size=(1, 3)), (150, 1)), rng.integers(-1, 2, (150, 3)) * 1000.0, rng.normal(size=(100, 3))])
+    ids = rng.permutation(1000)[: len(v)]
+    rows = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "chunk_id long, vector array<double>").repartition(3)
+    monkeypatch.setattr(Q, "BLOCK_BYTES", 24 * 30)
+    monkeypatch.setattr(Q, "MATRIX_BYTES", 4 * 64 * 20)
+    monkeypatch.setattr(Q, "TASK_BYTES", 24 * 30 * 5, raising=False)
+    monkeypatch.setattr(DataFrame, "toArrow", None)
+    got = {(r.qid, r["rank"]): (r.distance, r.chunk_id) for r in Q.knn_global(rows.withColumnRenamed("chunk_id", "qid"), rows, 5).collect()}
+    assert len(got) == 5 * len(v)
+    for q, x in zip(ids, v, strict=True):
+        d = ((v - x) ** 2).cumsum(1)[:, -1]
+        want = sorted((round(float(a), 9), int(i)) for a, i in zip(d, ids, strict=True) if i != q)[:5]
+        assert [got[q, k] for k in range(1, 6)] == want
+
+
 def test_the_model_not_asked_for_longest_goes():
     M.clear_models()
     made = []
