@@ -26,22 +26,58 @@ class PairScorer(Protocol):
     def score(self, pairs: list[tuple[str, str]]) -> np.ndarray: ...
 
 
+class _Places(dict):
+    """Twice the place of a word's hash, and one more where its sign is positive; worked out once a word."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        h = zlib.crc32(word.encode())
+        self[word] = place = 2 * (h % self.dim) + (h >> 31)
+        return place
+
+
 class HashingEmbedder:
     """Signed word hashes, scaled to unit length; a text without words is zero."""
 
+    #: Words whose places are kept.
+    most = 1 << 17
+
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self.places = _Places(dim)
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
-        for k, t in enumerate(texts):
-            for w in re.findall(r"\w+", t.lower()):
-                h = zlib.crc32(w.encode())
-                out[k, h % self.dim] += 1 if h & 0x80000000 else -1
+        if len(self.places) > self.most:
+            self.places.clear()
+        found: list[int] = []
+        counts = []
+        for t in texts:
+            words = re.findall(r"\w+", t.lower())
+            counts.append(len(words))
+            found += map(self.places.__getitem__, words)
+        at = np.array(found, np.int64)
+        cells = np.repeat(np.arange(len(texts)), counts) * self.dim + at // 2
+        out = np.bincount(cells, 2.0 * (at % 2) - 1, len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float32)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n > 0, n, 1)
 
 
+class Remembering:
+    """A model whose vectors are kept by text, for as long as this object is."""
+
+    def __init__(self, model: Embedder):
+        self.model, self.known = model, {}
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        new = [t for t in dict.fromkeys(texts) if t not in self.known]
+        if new:
+            self.known.update(zip(new, self.model.encode(new), strict=True))
+        return np.stack([self.known[t] for t in texts])
+
+
 _models: dict[Any, Any] = {}
 
 

@@ -304,3 +304,39 @@ def test_every_old_id_has_its_new_one(spark):
     groups = P.dedup(books, [F.col("body")], "id")
     got = {r.old_id: r.new_id for r in P.old_to_new(books, [F.col("body")], "id", groups).collect()}
     assert got == {3: 0, 5: 1, 7: 1, 9: 2}
+
+
+def test_chunks_of_a_large_batch_come_in_small_ones(spark, monkeypatch):
+    """A batch of very many texts gives its chunks as it goes, not all at its end."""
+    texts = spark.range(900).selectExpr("id as source_file", "concat('One two. ', repeat('Three four five! ', 40), id) as text").coalesce(1)
+    monkeypatch.setattr(C, "CHUNKED_BYTES", 5000, raising=False)
+    df = C.chunked(texts, "fixed_size", {"chunk_size": 100})
+    sizes = [b.num_rows for b in C.chunk_batches("fixed_size", {"chunk_size": 100}, "source_file")(iter(texts.toArrow().to_batches()))]
+    assert len(sizes) > 50 and max(sizes) < 100
+    rows = df.collect()
+    want = [(k, i, a, b, s) for k in range(900) for i, (s, a, b) in enumerate(C.spans_of("One two. " + "Three four five! " * 40 + str(k), "fixed_size", chunk_size=100))]
+    assert sum(sizes) == len(want) and sorted((r.source_file, r.chunk_no, r.start_index, r.end_index, r.text) for r in rows) == want
+
+
+def test_remembered_and_hashed_vectors_are_the_models(spark):
+    import re
+    import zlib
+
+    import numpy as np
+
+    texts = ["a b a C", "", "naïve Ünïcode_9 ٣", "a b a C", "x " * 500]
+    want = np.zeros((len(texts), 64), np.float32)
+    for k, t in enumerate(texts):
+        for w in re.findall(r"\w+", t.lower()):
+            h = zlib.crc32(w.encode())
+            want[k, h % 64] += 1 if h & 0x80000000 else -1
+    n = np.linalg.norm(want, axis=1, keepdims=True)
+    model = M.HashingEmbedder()
+    model.most = 2  # the kept words go now and then
+    once = M.Remembering(model)
+    for _ in range(2):
+        assert (once.encode(texts) == want / np.where(n > 0, n, 1)).all()
+    asked = []
+    once.model = type("Counting", (), {"encode": lambda self, x: asked.extend(x) or model.encode(x)})()
+    once.encode([*texts, "new", "new"])
+    assert asked == ["new"]
