@@ -50,6 +50,10 @@ class HashingEmbedder:
         self.places = _Places(dim)
 
     def encode(self, texts: list[str]) -> np.ndarray:
+        return self.scaled(self.counts(texts))
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """The vectors before they are scaled: whole numbers, which add up where texts without a common word are joined."""
         if len(self.places) > self.most:
             self.places.clear()
         found: list[int] = []
@@ -60,7 +64,9 @@ class HashingEmbedder:
             found += map(self.places.__getitem__, words)
         at = np.array(found, np.int64)
         cells = np.repeat(np.arange(len(texts)), counts) * self.dim + at // 2
-        out = np.bincount(cells, 2.0 * (at % 2) - 1, len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float32)
+        return np.bincount(cells, 2.0 * (at % 2) - 1, len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float32)
+
+    def scaled(self, out: np.ndarray) -> np.ndarray:
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n > 0, n, 1)
 

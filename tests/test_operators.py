@@ -340,3 +340,29 @@ def test_remembered_and_hashed_vectors_are_the_models(spark):
     once.model = type("Counting", (), {"encode": lambda self, x: asked.extend(x) or model.encode(x)})()
     once.encode([*texts, "new", "new"])
     assert asked == ["new"]
+
+
+def test_joined_spans_are_not_embedded_anew(monkeypatch):
+    """A text of many short sentences: the spans of whole embeddings, from a number of characters in proportion to it."""
+    text = "".join(("alpha beta. ", "gamma Ä9.", "eps zeta! ?", "eta_1 theta... ")[k % 4] for k in range(1000))
+    seen = []
+    whole = M.HashingEmbedder.encode
+
+    class Plain:
+        def encode(self, texts):
+            seen.extend(map(len, texts))
+            return whole(M.HashingEmbedder(), texts)
+
+    monkeypatch.setattr(C, "_model", lambda name: Plain())
+    want = C.recursive_semantic(text)
+    slow = sum(seen)
+
+    class Counted(M.HashingEmbedder):
+        def counts(self, texts):
+            seen.extend(map(len, texts))
+            return super().counts(texts)
+
+    seen.clear()
+    monkeypatch.setattr(C, "_model", lambda name: Counted())
+    assert C.recursive_semantic(text) == want
+    assert sum(seen) < 4 * len(text) and slow > 3 * sum(seen), (sum(seen), len(text), slow)
